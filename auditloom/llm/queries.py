@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language_id, token_counts, url_filters
+from . import byte_bpe, decontaminate, language_id, ngram_join, token_counts, url_filters
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_counts.op1_token_counts,
         url_filters.op3_url_filters,
+        ngram_join.op4_ngram_join,
         decontaminate.op5_decontaminate,
         byte_bpe.op7_byte_bpe,
         language_id.op10_language_id,
@@ -17,5 +18,6 @@ QUERIES = {
 
 SQL = {
     "op3_url_filters": url_filters.OP3_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
 }
