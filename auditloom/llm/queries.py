@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language_id, ngram_join, token_counts, url_filters
+from . import byte_bpe, decontaminate, language_id, line_dedup, ngram_join, token_counts, url_filters
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_counts.op1_token_counts,
+        line_dedup.op2_line_dedup,
         url_filters.op3_url_filters,
         ngram_join.op4_ngram_join,
         decontaminate.op5_decontaminate,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_url_filters": url_filters.OP3_SQL,
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
