@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, ngram_join, token_counts, url_filters
+from . import ann, byte_bpe, decontaminate, language_id, line_dedup, ngram_join, token_counts, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         ngram_join.op4_ngram_join,
         decontaminate.op5_decontaminate,
         byte_bpe.op7_byte_bpe,
+        ann.op9_ann,
         language_id.op10_language_id,
     )
 }
@@ -21,5 +22,6 @@ SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_url_filters": url_filters.OP3_SQL,
     "op4_ngram_join": ngram_join.OP4_SQL,
+    "op9_ann": ann.OP9_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
 }
