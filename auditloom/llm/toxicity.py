@@ -1,13 +1,15 @@
 """Operator 8: toxicity by a string-kernel support vector machine.
 
 Two words are as alike as the gapped letter triples they share: each triple of letters in order, within MAX_SPAN
-letters, weighs DECAY to the power of the stretch it takes (a subsequence kernel, normalised). An insult with letters put
+letters, weighs DECAY to the power of the stretch it takes (a subsequence kernel, normalised, then cubed; the
+ends of a word count as letters). An insult with letters put
 in between, left out or spaced apart keeps most of its triples. Words are compared with a few landmark words; a sentence
 has, for each landmark, the likeness of its most alike word. Nystroem's map makes these the features of a linear support
 vector machine over the sentences; a text scores as its worst sentence.
 
 Labels are given for texts. A toxic text teaches through its worst sentence under the model so far, another through its
-worst sentences, all not toxic; two rounds. Landmarks are the words that stand in toxic training texts most more than by
+worst sentences, all not toxic; two rounds. Landmarks are the words and
+beginnings of words that stand in toxic training texts most more than by
 chance. The fit reads about `max_per_class` labelled rows of each class (a parameter;
 taken by a hash); scoring reads whole texts. Likenesses under TINY count as 0, which an upper bound shows for nearly all
 words without comparing them.
@@ -25,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +38,16 @@ from .language_id import fold
 DECAY = 0.8
 MAX_SPAN = 7
 BUCKET_BITS = 14
-TINY = 0.35
-LANDMARKS = 48
-MAX_PER_CLASS = 4000
-#: A landmark stands in this share of the toxic training texts at least.
-LEAST_SHARE = 0.02
+TINY = 0.45
+POWER = 3
+LANDMARKS = 64
+#: Words as like as this to a landmark don't become another.
+SAME = 0.75
+#: Beginnings of words, of so many letters, may be landmarks too.
+STEMS = (4, 5, 6, 7)
+MAX_PER_CLASS = 2500
+#: A landmark stands in this share of the toxic training texts' sentences at least.
+LEAST_SHARE = 0.001
 #: ... and this much more often there than in the others.
 LEAST_RATIO = 3
 #: Longer words are read in windows of so many letters, half overlapping.
@@ -68,8 +76,9 @@ def sentences(text: str | None) -> list[list[str]]:
     return [s.split() for s in _SENTENCE.split(text)]
 
 
-def bare(word: str) -> str:
-    return _NOT_LETTERS.sub("", word)
+def marked(word: str) -> str:
+    """A word's letters and digits between marks of its two ends."""
+    return f"^{_NOT_LETTERS.sub('', word)}$"
 
 
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +108,12 @@ def _profile(word: str) -> np.ndarray:
     return out
 
 
+def _forms(word: str) -> list[str]:
+    """A word as it may become a landmark: whole, and its beginnings."""
+    form = marked(word)
+    return [form, *(form[: n + 1] for n in STEMS if n + 2 < len(form))] if 5 <= len(form) <= WINDOW else []
+
+
 class Likeness:
     """Of words to the landmarks. Row 0 of `rows` is that of all words with no likeness."""
 
@@ -115,10 +130,10 @@ class Likeness:
         forms: dict[int, list[tuple[str, str]]] = {}
         for word in words:
             self.known[word] = 0
-            form = bare(word)
-            for at in range(0, max(1, len(form) - WINDOW // 2), WINDOW // 2):
-                part = form[at : at + WINDOW]
-                if len(part) >= 3:
+            form = marked(word)
+            windows = [form[at : at + WINDOW] for at in range(0, max(1, len(form) - WINDOW // 2), WINDOW // 2)]
+            for part in (*windows, *(form[: n + 1] for n in STEMS if n + 2 < len(form))):
+                if len(part) >= 5:
                     forms.setdefault(len(part), []).append((word, part))
         for pairs in forms.values():
             for start in range(0, len(pairs), 4096):
@@ -130,7 +145,7 @@ class Likeness:
                     own, place = np.unique(buckets[i], return_inverse=True)
                     profile = np.bincount(place, weights)
                     row = (profile / np.sqrt(profile @ profile)) @ self.profiles[own]
-                    row[row < TINY] = 0.0
+                    row = np.where(row < TINY, 0.0, row**POWER)
                     if row.any():
                         if self.known[word]:
                             self.rows[self.known[word]] = np.maximum(self.rows[self.known[word]], row)
@@ -243,20 +258,31 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CL
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({b for w in set(chain.from_iterable(sentences(t.as_py()))) if 3 <= len(b := bare(w)) <= WINDOW}) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["words", "toxic"])
-
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+                parts = [p for p in sentences(text.as_py()) if p]
+                found = [sorted(set(chain.from_iterable(map(_forms, p)))) for p in parts]
+                marks = [xxhash.xxh3_64_intdigest(" ".join(p).encode()) >> 1 for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array([toxic.as_py()] * len(parts), pa.int32())], ["sentence", "words", "toxic"])
+
+    # sentences that copies of a text share count once
+    split = written(sample.select("text", "toxic").mapInArrow(words, "sentence long, words array<string>, toxic int").dropDuplicates(["sentence"]))
+    n = {r["toxic"]: r["n"] for r in split.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log((base + 1e-6) / (1 - base + 1e-6))))
-    seen = sample.select("text", "toxic").mapInArrow(words, "words array<string>, toxic int").select(F.explode("words").alias("word"), "toxic")
+    seen = split.select(F.explode("words").alias("word"), "toxic")
     seen = seen.groupBy("word").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0"))
     p1, p0 = (F.col("k1") + 0.5) / (n1 + 1), (F.col("k0") + 0.5) / (n0 + 1)
     z = (F.log(p1) - F.log(p0)) / F.sqrt(1 / (F.col("k1") + 0.5) + 1 / (F.col("k0") + 0.5))
-    landmarks = [r["word"] for r in seen.where(F.col("k1") >= max(3, LEAST_SHARE * n1)).withColumn("z", z).where((F.col("z") > 3) & (p1 > LEAST_RATIO * p0)).orderBy(F.desc("z"), "word").limit(LANDMARKS).collect()]
-    profiles = np.stack([_profile(w) for w in landmarks], axis=1) if landmarks else np.zeros((1, 0))
-    values, vectors = np.linalg.eigh(profiles.T @ profiles)
+    ranked = seen.where(F.col("k1") >= max(3, LEAST_SHARE * n1)).withColumn("z", z).where((F.col("z") > 3) & (p1 > LEAST_RATIO * p0)).orderBy(F.desc("z"), "word").limit(20 * LANDMARKS)
+    landmarks: list[str] = []
+    profiles = np.zeros((1 << BUCKET_BITS, 0))
+    for word in (r["word"] for r in ranked.collect()):
+        own = _profile(word)
+        if len(landmarks) < LANDMARKS and (own @ profiles).max(initial=0.0) < SAME:
+            landmarks.append(word)
+            profiles = np.column_stack([profiles, own])
+    values, vectors = np.linalg.eigh((profiles.T @ profiles) ** POWER)
     root = vectors / np.sqrt(np.maximum(values, 1e-3))  # Nystroem's map: likenesses to features
     weights = np.ones(len(landmarks))
     bias = 0.0
