@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, decontaminate, language_id, line_dedup, ngram_join, token_counts, url_filters
+from . import ann, byte_bpe, decontaminate, html_extract, language_id, line_dedup, ngram_join, token_counts, toxicity, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -12,7 +12,9 @@ QUERIES = {
         url_filters.op3_url_filters,
         ngram_join.op4_ngram_join,
         decontaminate.op5_decontaminate,
+        html_extract.op6_html_extract,
         byte_bpe.op7_byte_bpe,
+        toxicity.op8_toxicity,
         ann.op9_ann,
         language_id.op10_language_id,
     )
