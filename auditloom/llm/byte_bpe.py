@@ -10,20 +10,24 @@ from __future__ import annotations
 
 import base64
 import functools
-import heapq
+import re
+from array import array
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 #: Misses whose merges a worker keeps; at this many it starts anew.
-KEPT_MISSES = 400_000
+KEPT_MISSES = 300_000
 #: Texts are solved in groups of so many characters, which bounds a worker's memory.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 1_500_000
 
 
 class MinimalPerfectHash:
@@ -66,47 +70,69 @@ class MinimalPerfectHash:
         return out
 
 
+def _for_ascii(pattern: str) -> str:
+    """The pattern with letter and number classes as ASCII ranges."""
+    out, inside = [], False
+    for part in re.split(r"(\\p\{[LN]\}|\\.|\[|\])", pattern):
+        inside = part == "[" or inside and part != "]"
+        ranges = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}.get(part)
+        out.append(part if ranges is None else ranges if inside else f"[{ranges}]")
+    return "".join(out)
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
+        #: The same pattern over ASCII texts, for the quicker standard matcher.
+        self.split_ascii = re.compile(_for_ascii(pattern), re.ASCII).findall
         keys = list(ranks)
         self.hash = MinimalPerfectHash(keys)
         self.keys: list[bytes] = [b""] * len(keys)
         self.packed: list[bytes] = [b""] * len(keys)
         for key, slot in zip(keys, self.hash.slots(keys).tolist(), strict=True):
             self.keys[slot], self.packed[slot] = key, ranks[key].to_bytes(4, "little")
+        #: The id that a pair of ids joins to.
+        self.joined = {ranks[k[:i]] << 32 | ranks[k[i:]]: r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.bytes_of = {i: k for k, i in ranks.items()}
         self.misses: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> bytes:
         """The packed ids of a piece that isn't in the vocabulary as a whole."""
-        ranks, n = self.ranks, len(piece)
-        parts: list[bytes] = [piece[i : i + 1] for i in range(n)]
+        joined, n = self.joined.get, len(piece)
+        ids = list(map(self.byte_ids.__getitem__, piece))
+        waits = [joined(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # rank of the pair that starts here
+        waits.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        heap = [r * n + i for i, r in enumerate(waits) if r >= 0]
+        heapify(heap)
         while heap:
-            _, i, width = heapq.heappop(heap)
-            j = after[i] if parts[i] else n
-            if j >= n or len(parts[i]) + len(parts[j]) != width:
+            rank, i = divmod(heappop(heap), n)
+            if waits[i] != rank:
                 continue  # one of the two has been merged meanwhile
-            parts[i] += parts[j]
-            parts[j] = b""
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], ids[j], waits[j] = rank, -1, -1
             if k < n:
                 before[k] = i
-                if (r := ranks.get(parts[i] + parts[k])) is not None:
-                    heapq.heappush(heap, (r, i, width + len(parts[k])))
-            if (h := before[i]) >= 0 and (r := ranks.get(parts[h] + parts[i])) is not None:
-                heapq.heappush(heap, (r, h, len(parts[h]) + width))
-        return b"".join(ranks[p].to_bytes(4, "little") for p in parts if p)
+                waits[i] = r = joined(rank << 32 | ids[k], -1)
+                if r >= 0:
+                    heappush(heap, r * n + i)
+            else:
+                waits[i] = -1
+            h = before[i]
+            if h >= 0:
+                waits[h] = r = joined(ids[h] << 32 | rank, -1)
+                if r >= 0:
+                    heappush(heap, r * n + h)
+        return array("I", [i for i in ids if i >= 0]).tobytes()
 
     def packed_ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [self.split(t) for t in texts]
+        cut = [self.split_ascii(t) if t.isascii() else self.split(t) for t in texts]
         found: dict[str, bytes] = {}
         pieces = list(set().union(*cut))
         as_bytes = [p.encode() for p in pieces]
@@ -149,15 +175,18 @@ def encoded(text: Column, ranks_file: str, pattern: str) -> Column:
     return encode(text)
 
 
-def decoded(ids: Column, ranks_file: str, pattern: str) -> Column:
-    """BINARY: the bytes that packed ids stand for; empty for null."""
+def decode_documents(df: DataFrame, ranks_file: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """Adds the bytes that packed ids stand for (empty for null); such a column of df is replaced."""
+    df = df.drop(out)
+    at = df.columns.index(ids)
 
-    @F.arrow_udf("binary")
-    def decode(rows: pa.Array) -> pa.Array:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_file, pattern)
-        return pa.array([coder.decoded(r.as_py() or b"") for r in rows], pa.binary())
+        for batch in batches:
+            texts = pa.array([coder.decoded(r.as_py() or b"") for r in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out])
 
-    return decode(ids)
+    return df.mapInArrow(decode, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def encode_documents(df: DataFrame, ranks_file: str, pattern: str, text: str = "text") -> DataFrame:
@@ -169,5 +198,6 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     args = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *args)
-    return docs.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(decoded(F.col("token_ids"), *args), 256).alias("decoded_sha256"))
+    docs = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *args).drop("text")
+    found = decode_documents(docs, *args)
+    return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
