@@ -1,7 +1,7 @@
 """Operator 8: toxicity by a string-kernel support vector machine.
 
 Two words are as alike as the gapped letter triples they share: each triple of letters in order, within MAX_SPAN
-letters, weighs DECAY to the power of the stretch it takes (a subsequence kernel, normalised, then cubed; the
+letters, weighs DECAY to the power of the stretch it takes (a subsequence kernel, normalised, then squared; the
 ends of a word count as letters). An insult with letters put
 in between, left out or spaced apart keeps most of its triples. Words are compared with a few landmark words; a sentence
 has, for each landmark, the likeness of its most alike word. Nystroem's map makes these the features of a linear support
@@ -38,8 +38,8 @@ from .language_id import fold
 DECAY = 0.8
 MAX_SPAN = 7
 BUCKET_BITS = 14
-TINY = 0.45
-POWER = 3
+TINY = 0.5
+POWER = 2
 LANDMARKS = 64
 #: Words as like as this to a landmark don't become another.
 SAME = 0.75
