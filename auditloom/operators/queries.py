@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.operators import keywords
 from auditloom.plans import checks, oracle_sql
 from auditloom.sources.html import parse_pages
+from auditloom.streaming import ratelimit
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +39,15 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver(spark, sf_dir).select("page_id", "site", "url", "title", "words", "depth", "is_home", F.size("links").alias("n_links"))
 
 
-QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts)}
+def site_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.keywords(silver(spark, sf_dir))
+
+
+def affected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.affected_pages(silver(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_keywords, ratelimit.rate_limiter)}
 
 SQL = {
     "site_checks": oracle_sql.SITE_CHECKS,
