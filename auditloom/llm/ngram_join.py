@@ -9,8 +9,12 @@
    documents whose prefix has no other drop out.
 3. Stars. Min-hash groups verify their members against the most shared-in member only; most copies link here. Rows
    stay linear in the documents, however large a group is.
-4. The rest. Shingles of prefixes pair documents of *different* components only, component pairs first, so groups
-   that are linked already emit nothing; these pairs are counted, filtered by L and length, and verified.
+4. The rest. Classes are dealt into blocks of bounded size: by component, else by their largest min-hash group if
+   it is a crowd, else by their prefix's most frequent shingle.
+   Blocks whose prefixes share as many shingles as a pair must meet in a cell, unless they are of one component or of
+   unlike lengths. There, pairs of different
+   components that share enough of their prefixes and are of like length are verified; a cell passes on no more links
+   than connect its blocks.
 
 Every link that is kept was verified on the texts' shingles; every pair of classes that could link is either verified
 or already in one component. Texts are never cut. Null and empty texts have the empty set and link with nothing. Rows that
@@ -37,10 +41,14 @@ PERCENT = 80
 ZONE = 0.25
 #: Hashes of the filter have so many bits (verification uses 64).
 BITS = 48
-MOST_MATCHES = 6
+MOST_MATCHES = 12
 #: Estimated candidates of a prefix above which, doubled each time, it asks for one more shared shingle.
-CHEAP = 64
+CHEAP = 2
 MIN_HASHES = 6
+#: Classes of a block, which is compared with another block in one task.
+BLOCK = 256
+#: Smaller min-hash groups don't make blocks; their classes are dealt by a shingle of their prefix.
+CROWD = 32
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -72,6 +80,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(t.as_py()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, found), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())], ["doc_id", "copy", "n", "sig"])
+
+
 def _sets(percent: int):
     shift, zone = np.uint64(64 - BITS), np.uint64(int(ZONE * 2**BITS))
     salts = _FACTORS[:, None] | np.uint64(1)
@@ -97,7 +111,7 @@ def _prefixes(percent: int, most: int):
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"key": [], "n": [], "matches": [], "shared": [], "prefix": []}
+            rows = {"key": [], "n": [], "matches": [], "shared": [], "home": [], "prefix": []}
             for key, n, sent, found in zip(*(batch.column(i) for i in range(4)), strict=True):
                 n, sent_in_zone = n.as_py(), sent.as_py()
                 tokens = sorted((t["token"] >= zone, t["df"] if t["token"] < zone else 0, t["token"], t["df"]) for t in found.as_py())
@@ -114,8 +128,9 @@ def _prefixes(percent: int, most: int):
                     rows["n"].append(n)
                     rows["matches"].append(matches)
                     rows["shared"].append(in_zone / max(1, sent_in_zone))
+                    rows["home"].append(max(taken, key=lambda t: (t[3], t[2]))[2])
                     rows["prefix"].append([t[2] for t in taken])
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("key", pa.int64()), ("n", pa.int64()), ("matches", pa.int64()), ("shared", pa.float64()), ("prefix", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("key", pa.int64()), ("n", pa.int64()), ("matches", pa.int64()), ("shared", pa.float64()), ("home", pa.int64()), ("prefix", pa.list_(pa.int64()))]))
 
     return prefixes
 
@@ -139,6 +154,44 @@ def _verified(percent: int):
     return verify
 
 
+def _cell(percent: int):
+    """Links between two blocks of classes, as few as connect what they connect. Classes of one component aren't compared."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        key, n, matches = (rows.column(c).to_numpy() for c in ("key", "n", "matches"))
+        component = [k if c is None else c for k, c in zip(key.tolist(), rows.column("component").to_pylist(), strict=True)]
+        first = rows.column("block").to_numpy() == rows.column("a")[0].as_py()
+        lists = rows.column("prefix").combine_chunks()
+        tokens, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        has = np.zeros((len(key), len(tokens)), np.float32)
+        has[np.repeat(np.arange(len(key)), lists.value_lengths().to_numpy(zero_copy_only=False)), at] = 1
+        left, right = (np.flatnonzero(first), np.flatnonzero(first)) if first.all() else (np.flatnonzero(first), np.flatnonzero(~first))
+        common = has[left] @ has[right].T
+        near = (common >= np.minimum.outer(matches[left], matches[right])) & (100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right]))
+        root: dict[int, int] = {}
+
+        def of(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        texts, sets = rows.column("text"), {}
+        for i, j in zip(*np.nonzero(near), strict=True):
+            u, v = int(left[i]), int(right[j])
+            if u == v or of(component[u]) == of(component[v]):
+                continue
+            for x in (u, v):
+                if x not in sets:
+                    sets[x] = shingles(texts[x].as_py())
+            if similar(sets[u], sets[v], percent):
+                links.append((int(key[u]), int(key[v])))
+                root[of(component[u])] = of(component[v])
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return compare
+
+
 def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that are similar. v's text travels to u's, so the text of a much paired u moves once."""
     met = pairs.join(texts.withColumnRenamed("key", "v").withColumnRenamed("text", "b"), "v").join(texts.withColumnRenamed("key", "u").withColumnRenamed("text", "a"), "u")
@@ -148,9 +201,10 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Of each row: doc_id, n_shingles, component_id."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    sets = written(docs.mapInArrow(_sets(percent), "doc_id long, copy long, n long, sig binary, tokens array<long>, mins array<long>"))
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min(F.struct("doc_id", "copy")).alias("of")).select("sig", "n", "of.*").withColumn("key", F.monotonically_increasing_id()))
+    sizes = written(docs.mapInArrow(_sizes, "doc_id long, copy long, n long, sig binary"))
+    classes = written(sizes.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min(F.struct("doc_id", "copy")).alias("of")).select("sig", "n", "of.*").withColumn("key", F.monotonically_increasing_id()))
     of_class = classes.select("sig", "doc_id", "copy", "key")
+    sets = docs.mapInArrow(_sets(percent), "doc_id long, copy long, n long, sig binary, tokens array<long>, mins array<long>")
     kept = sets.where("n > 0").join(of_class, ["sig", "doc_id", "copy"]).dropDuplicates(["sig", "doc_id", "copy"])
     kept = written(kept.select("key", "n", "tokens", "mins", "doc_id", "copy"))
 
@@ -159,38 +213,47 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
     tokens = kept.select("key", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     found = tokens.join(shared, "token").groupBy("key").agg(F.collect_list(F.struct("token", "df")).alias("found"))
-    sizes = kept.select("key", "n", F.size(F.filter("tokens", lambda t: t < zone)).cast("long").alias("sent_in_zone"))
-    prefixes = written(sizes.join(found, "key").select("key", "n", "sent_in_zone", "found").mapInArrow(_prefixes(percent, MOST_MATCHES), "key long, n long, matches long, shared double, prefix array<long>"))
+    counts = kept.select("key", "n", F.size(F.filter("tokens", lambda t: t < zone)).cast("long").alias("sent_in_zone"))
+    prefixes = written(counts.join(found, "key").select("key", "n", "sent_in_zone", "found").mapInArrow(_prefixes(percent, MOST_MATCHES), "key long, n long, matches long, shared double, home long, prefix array<long>"))
     mine = written(kept.select("key", "doc_id", "copy", "mins").join(prefixes.select("key", "shared"), "key"))
     texts = written(docs.join(mine.select("key", "doc_id", "copy"), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select("key", "text"))
 
     # stars
     minned = mine.select("key", "shared", F.posexplode("mins").alias("j", "least"))
     heads = minned.groupBy("j", "least").agg(F.max(F.struct("shared", (-F.col("key")).alias("key"))).alias("head"), F.count("*").alias("members")).where("members > 1")
-    stars = minned.join(heads.select("j", "least", (-F.col("head.key")).alias("u")), ["j", "least"]).where("u != key").select("u", F.col("key").alias("v")).distinct()
+    starred = written(minned.join(heads.select("j", "least", "members", (-F.col("head.key")).alias("u")), ["j", "least"]).select("u", F.col("key").alias("v"), "members", "j", "least"))
+    stars = starred.where("u != v").select("u", "v").distinct()
+    crowds = starred.groupBy(F.col("v").alias("key")).agg(F.max(F.struct("members", "j", "least")).alias("crowd")).where(F.col("crowd.members") >= CROWD).select("key", F.xxhash64("crowd.j", "crowd.least").alias("crowd"))
     star_links = written(_links(stars, texts, percent))
     groups = written(connected_components(star_links))
 
     # the rest
-    held = prefixes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "matches", F.coalesce("component", "key").alias("component"), F.explode("prefix").alias("token"))
-    present = held.select("token", "component").distinct()
-    several = present.groupBy("token").agg(F.count("*").alias("components")).where("components > 1").select("token")
-    present = present.join(several, "token")
-    apart = present.withColumnRenamed("component", "c").join(present.withColumnRenamed("component", "d"), "token").where("c < d")
-    left = held.select(F.col("key").alias("u"), F.col("n").alias("n_u"), F.col("matches").alias("m_u"), F.col("component").alias("c"), "token")
-    right = held.select(F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("matches").alias("m_v"), F.col("component").alias("d"), "token")
-    near = F.expr(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
-    met = apart.join(left, ["token", "c"]).join(right, ["token", "d"]).where(near)
-    pairs = met.groupBy("u", "v").agg(F.count("*").alias("common"), F.first(F.least("m_u", "m_v")).alias("asked")).where("common >= asked").select("u", "v")
-    links = star_links.unionByName(_links(pairs, texts, percent))
-    groups = written(connected_components(links))
+    held = prefixes.join(groups.withColumnRenamed("node", "key"), "key", "left").join(crowds, "key", "left")
+    held = held.withColumn("family", F.xxhash64(F.col("component").isNull(), F.coalesce("component", "crowd", "home")))
+    sized = held.groupBy("family").agg(F.count("*").alias("members"))
+    held = held.join(sized, "family").withColumn("block", F.xxhash64("family", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BLOCK))))
+    held = written(held.select("key", "n", "matches", "component", "family", "block", "prefix"))
+    blocks = written(held.groupBy("block").agg(F.first("component").alias("component"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("matches").alias("matches")))
+    present = held.select("block", F.explode("prefix").alias("token")).distinct()
+    several = present.groupBy("token").agg(F.count("*").alias("blocks")).where("blocks > 1").select("token")
+    present = present.join(several, "token").join(blocks, "block")
+    one, other = (present.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "component", "least", "most", "matches")]) for x in ("a", "b"))
+    unlike = f"(component_a is null or component_b is null or component_a != component_b) and 100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a"
+    apart = one.join(other, "token").where(f"block_a < block_b and {unlike}").groupBy(F.col("block_a").alias("a"), F.col("block_b").alias("b")).agg(F.count("*").alias("common"), F.first(F.least("matches_a", "matches_b")).alias("asked"))
+    apart = apart.where("common >= asked").select("a", "b")
+    within = held.where("component is null").groupBy("block").agg(F.count("*").alias("members")).where("members > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
+    cells = written(apart.unionByName(within))
+    sides = cells.withColumn("block", F.col("a")).unionByName(cells.where("a != b").withColumn("block", F.col("b")))
+    docs_of = held.join(texts, "key").select("block", "key", "n", "matches", "component", "prefix", "text")
+    links = sides.join(docs_of, "block").groupBy("a", "b").applyInArrow(_cell(percent), "u long, v long")
+    groups = written(connected_components(star_links.unionByName(links)))
 
     # back to documents: the smallest id of a component's classes
     label = classes.join(groups.withColumnRenamed("node", "key"), "key").select("key", "sig", "doc_id", "component")
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = label.join(least, "component").select("key", "component_id")
     of = classes.join(linked, "key", "left").select("sig", F.coalesce("component_id", "doc_id").alias("class_id"))
-    all_rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "sig")
+    all_rows = sizes.select("doc_id", F.col("n").alias("n_shingles"), "sig")
     return all_rows.join(of, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("component_id"))
 
 
