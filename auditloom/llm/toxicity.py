@@ -58,7 +58,7 @@ WORST = 3
 KEPT_WORDS = 600_000
 
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
-_SPACED = re.compile(r"(?<!\S)(?:\w[ .*_-]{1,2}){2,}\w(?!\w)")
+_SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
 _NOT_LETTERS = re.compile(r"[\W_]+")
 
 
@@ -71,9 +71,12 @@ class Model(NamedTuple):
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Each sentence's words, lower-cased; letters that are spaced apart make a word."""
-    text = _SPACED.sub(lambda m: _NOT_LETTERS.sub("", m[0]), (text or "").lower())
-    return [s.split() for s in _SENTENCE.split(text)]
+    """Each sentence's words, lower-cased; three or more single characters in a row make a word too."""
+    out = [s.split() for s in _SENTENCE.split((text or "").lower())]
+    for words in out:
+        if list(map(len, words)).count(1) >= 3:
+            words += [w.replace(" ", "") for w in _SPACED.findall(" ".join(words))]
+    return out
 
 
 def marked(word: str) -> str:
@@ -127,31 +130,39 @@ class Likeness:
         self.rows: list[np.ndarray] = [np.zeros(self.profiles.shape[1])]
 
     def learn(self, words: set[str]) -> None:
-        forms: dict[int, list[tuple[str, str]]] = {}
+        by_length: dict[int, list[tuple[str, str]]] = {}
         for word in words:
             self.known[word] = 0
             form = marked(word)
-            windows = [form[at : at + WINDOW] for at in range(0, max(1, len(form) - WINDOW // 2), WINDOW // 2)]
-            for part in (*windows, *(form[: n + 1] for n in STEMS if n + 2 < len(form))):
-                if len(part) >= 5:
-                    forms.setdefault(len(part), []).append((word, part))
-        for pairs in forms.values():
+            n = len(form)
+            if n > WINDOW:
+                for at in range(0, n - WINDOW // 2, WINDOW // 2):
+                    part = form[at : at + WINDOW]
+                    by_length.setdefault(len(part), []).append((word, part))
+            elif n >= 5:
+                by_length.setdefault(n, []).append((word, form))
+        for length, pairs in by_length.items():
             for start in range(0, len(pairs), 4096):
                 some = pairs[start : start + 4096]
-                buckets, weights = _hashed(_letters([part for _, part in some]))
-                bound = (self.most[buckets] * weights).sum(1) / np.sqrt((weights**2).sum())
-                for i in np.flatnonzero(bound >= TINY).tolist():
-                    word = some[i][0]
-                    own, place = np.unique(buckets[i], return_inverse=True)
-                    profile = np.bincount(place, weights)
-                    row = (profile / np.sqrt(profile @ profile)) @ self.profiles[own]
-                    row = np.where(row < TINY, 0.0, row**POWER)
-                    if row.any():
-                        if self.known[word]:
-                            self.rows[self.known[word]] = np.maximum(self.rows[self.known[word]], row)
-                        else:
-                            self.known[word] = len(self.rows)
-                            self.rows.append(row)
+                letters = _letters([part for _, part in some])
+                for n in (*(s + 1 for s in STEMS if s + 2 < length), length):  # beginnings, and the whole
+                    self._compare(some, letters[:, :n])
+
+    def _compare(self, some: list[tuple[str, str]], letters: np.ndarray) -> None:
+        buckets, weights = _hashed(letters)
+        bound = (self.most[buckets] * weights).sum(1) / np.sqrt((weights**2).sum())
+        for i in np.flatnonzero(bound >= TINY).tolist():
+            word = some[i][0]
+            own, place = np.unique(buckets[i], return_inverse=True)
+            profile = np.bincount(place, weights)
+            row = (profile / np.sqrt(profile @ profile)) @ self.profiles[own]
+            row = np.where(row < TINY, 0.0, row**POWER)
+            if row.any():
+                if self.known[word]:
+                    self.rows[self.known[word]] = np.maximum(self.rows[self.known[word]], row)
+                else:
+                    self.known[word] = len(self.rows)
+                    self.rows.append(row)
 
     def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Of each text: a row of likenesses for each sentence that has any."""
