@@ -5,7 +5,8 @@
    first among them, then the rest by hash. Two similar sets share at least L of their first |s| - ceil(0.8 |s|) + L
    shingles, for every L. So a document may lengthen its prefix as long as it asks for as many shared shingles more:
    it takes a larger L the more candidates its shortest prefix is estimated to meet (the sum of the shingles' document
-   frequencies). A pair must share the lesser L of its two documents. Shingles of one document only are never sent on;
+   frequencies), up to ceil(0.8 |s|), the overlap that a similar set is sure to have. A pair must share the lesser L of its
+   two documents. Shingles of one document only are never sent on;
    documents whose prefix has no other drop out.
 3. Stars. Min-hash groups verify their members against the most shared-in member only; most copies link here. Rows
    stay linear in the documents, however large a group is.
@@ -119,8 +120,8 @@ def _prefixes(percent: int, most: int):
                 alone = sent_in_zone - in_zone  # of no other document, so they stand first; such ones beyond the zone are left out of the count, which only keeps more
                 length = prefix_length(n, percent)
                 cost = sum(t[3] - 1 for t in tokens[: max(0, length - alone)])
-                matches = 1
-                while matches < most and cost > CHEAP << matches:
+                matches, sure = 1, min(most, (n * percent + 99) // 100)  # a similar set need not share more than `sure`
+                while matches < sure and cost > CHEAP << matches:
                     matches += 1
                 taken = tokens[: max(0, length - 1 + matches - alone)]
                 if taken:
