@@ -48,11 +48,48 @@ def run_checks(silver: DataFrame, checks: list[Check] = PAGE_CHECKS) -> DataFram
     return met.select("site", "check_id", status.alias("status"), n_bad.alias("n_bad"), "n_total")
 
 
-def affected_pages(silver: DataFrame, checks: list[Check] = PAGE_CHECKS) -> DataFrame:
-    """site, check_id, page_id, url: the first failing pages of each failed page or home check, by (depth, page_id)."""
-    failing = page_outcomes(silver, [c for c in checks if c.kind in ("page", "home")]).where("hit")
+def page_findings(silver: DataFrame, checks: list[Check] = PAGE_CHECKS) -> DataFrame:
+    """site, page_id, url, is_home, pos, check_id, kind, always, hit, key: what may count against a page; pages without such a row have one of nulls."""
+    def one(c: Check):
+        hit, key = ("false", c.test) if c.kind == "group" else (c.test, "null")
+        within = f"coalesce({c.cohort}, false)" + {"home": f" and is_home and coalesce({c.test}, false)", "page": f" and coalesce({c.test}, false)", "group": f" and coalesce({c.test}, '') != ''", "any": ""}[c.kind]
+        always = str(c.cohort == "true").lower()
+        return F.expr(f"case when {within} then struct('{c.id}' as check_id, '{c.kind}' as kind, {always} as always, coalesce({hit}, false) as hit, cast({key} as string) as key) end")
+
+    rows = F.filter(F.array(*[one(c) for c in checks]), lambda r: r.isNotNull())
+    return silver.select("site", "page_id", "url", "is_home", F.posexplode_outer(rows).alias("pos", "r")).select("site", "page_id", "url", "is_home", "pos", "r.*")
+
+
+def _affected(findings: DataFrame) -> DataFrame:
+    page = ["site", "check_id", "page_id", "url"]
+    own = findings.where("kind in ('page', 'home')").select(*page)
+
+    def met(rows: DataFrame, bad: DataFrame, *keys: str) -> DataFrame:
+        bad = bad.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        on = [rows[k].eqNullSafe(bad[f"__{k}"]) for k in keys]
+        return rows.join(bad, on).select(*page)
+
+    # a failed `any` check counts against its cohort, if that has a condition, else against the home page
+    anyhow = findings.where("kind = 'any'")
+    failed = anyhow.groupBy("site", "check_id").agg(F.max("hit").alias("hit")).where("not hit")
+    groups = findings.where("kind = 'group'")
+    shared = groups.groupBy("site", "check_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return own.unionByName(met(anyhow.where("is_home or not always"), failed, "site", "check_id")).unionByName(met(groups, shared, "site", "check_id", "key"))
+
+
+def _findings(silver: DataFrame, checks: list[Check]) -> DataFrame:
+    from auditloom.llm.common import written
+
+    return written(page_findings(silver, checks))  # pages are parsed once
+
+
+def affected_pages(silver: DataFrame, checks: list[Check] = PAGE_CHECKS, most: int | None = None) -> DataFrame:
+    """site, check_id, page_id, url: all pages that a failed check counts against; for a display, the first `most` (MOST_AFFECTED, say) by page_id of each."""
+    failing = _affected(_findings(silver, checks))
+    if most is None:
+        return failing
     order = Window.partitionBy("site", "check_id").orderBy("page_id")
-    return failing.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_AFFECTED).select("site", "check_id", "page_id", "url")
+    return failing.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
 
 
 def dimension(silver: DataFrame, checks: list[Check] = PAGE_CHECKS) -> DataFrame:
@@ -78,8 +115,9 @@ def site_scores(categories: DataFrame) -> DataFrame:
 
 def page_summary(silver: DataFrame) -> DataFrame:
     """site, page_id, url, issues, critical: pages without issues are there too."""
-    found = affected_pages(silver).join(dimension(silver), "check_id").groupBy("page_id").agg(F.count("*").alias("issues"), F.count_if(F.col("severity") == "critical").alias("critical"))
-    met = silver.select("site", "page_id", "url").join(found, "page_id", "left")
+    findings = _findings(silver, PAGE_CHECKS)
+    found = _affected(findings).join(dimension(silver), "check_id").groupBy("page_id").agg(F.count("*").alias("issues"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    met = findings.where("pos is null or pos = 0").select("site", "page_id", "url").join(found, "page_id", "left")
     return met.select("site", "page_id", "url", F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("critical", F.lit(0)).alias("critical"))
 
 
