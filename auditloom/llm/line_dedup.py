@@ -74,6 +74,51 @@ def without_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc
     return out.where("n_removed = 0 or n_removed < n_lines").select(*df.columns)
 
 
+def _windows(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, copy, first, last, hash of the least run of LONG_WORDS words that begins at each line, and that ends at each line."""
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.split(text, "\n", -1).alias("lines"))
+    worded = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(r"\S+")).alias("n"))), lambda x: x["n"] > 0)
+    # generators, through which nothing is moved into the loops below
+    rows = rows.select("doc_id", "copy", F.explode(F.array(F.struct("lines", worded.alias("worded")))).alias("r")).select("doc_id", "copy", "r.*").where(F.size("worded") > 0)
+
+    def run(lines_of):  # a line with words has one at least, so LONG_WORDS of them are enough
+        return F.aggregate(lines_of, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("i")), lambda a, x: F.when(a["n"] >= LONG_WORDS, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), x["i"].alias("i"))))
+
+    def forwards(x, k):
+        return F.transform(F.array(run(F.slice("worded", k + 1, LONG_WORDS))), lambda r: F.struct(r["n"].alias("n"), x["i"].alias("first"), r["i"].alias("last")))
+
+    def backwards(x, k):
+        before = F.slice("worded", F.greatest(k + 2 - LONG_WORDS, F.lit(1)), F.least(k + 1, F.lit(LONG_WORDS)))
+        return F.transform(F.array(run(F.reverse(before))), lambda r: F.struct(r["n"].alias("n"), r["i"].alias("first"), x["i"].alias("last")))
+
+    ranges = F.filter(F.flatten(F.concat(F.transform("worded", forwards), F.transform("worded", backwards))), lambda r: r["n"] >= LONG_WORDS)
+    ranges = F.array_distinct(F.transform(ranges, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))))
+    rows = rows.select("doc_id", "copy", F.explode(F.array(F.struct("lines", ranges.alias("ranges")))).alias("r")).select("doc_id", "copy", "r.*")
+    body = lambda r: F.array_join(F.slice("lines", r["first"] + 1, r["last"] - r["first"] + 1), "\n")
+    found = F.transform("ranges", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.unhex(F.sha2(body(r).cast("binary"), 256)).alias("hash")))
+    return rows.select("doc_id", "copy", F.explode(found).alias("w")).select("doc_id", "copy", "w.*")
+
+
+def without_repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """df without the lines of runs of LONG_WORDS words or more that stand, line by line, at an earlier (doc_id, line) too.
+
+    However the lines around it are cut: such a run is the union of the windows of _windows that lie in it. Equal are
+    windows of one SHA-256. A window that overlaps its first copy stays, so that a repeated line keeps one whole run. Documents
+    that lose all their words go. Rows with a null doc_id lose nothing."""
+    windows = written(_windows(df, text, doc_id))
+    firsts = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "first", "last", "copy")).alias("of"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = windows.join(firsts, "hash").where("doc_id is not null").where(F.struct("doc_id", "first") > F.struct("of.doc_id", "of.first"))
+    again = again.where("not (of.doc_id <=> doc_id and of.copy = copy and of.last >= first)")
+    gone = again.select("doc_id", "copy", F.explode(F.sequence("first", "last")).alias("i")).groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_set("i").alias("__gone"))
+    met = df.join(gone, (df[doc_id] == gone["__id"]) & (F.xxhash64(df[text]) == gone["__copy"]), "left")
+    # a generator, so that a text is split once, not for each of its lines
+    split = met.withColumn("__lines", F.explode_outer(F.array(F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n", -1)))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    kept = F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+    out = split.withColumn("__kept", F.explode_outer(F.array(kept))).where("__kept is null or __kept rlike '[^ \\t\\r\\n]'")
+    return out.withColumn(text, F.coalesce("__kept", F.col(text))).select(*df.columns)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
