@@ -13,11 +13,11 @@ ZONES = {"title": 5.0, "h1": 4.0, "description": 3.0, "h2": 2.0, "h3": 1.5, "bod
 STOP = tuple("the and for with that this from you your are our was were have has not but all can will about into more also its they them their what when which who how why".split())
 
 
-def zones(silver: DataFrame) -> DataFrame:
-    """site, page_id, zone_no, weight, text."""
+def zones(silver: DataFrame, body_chars: int | None = None) -> DataFrame:
+    """site, page_id, zone_no, weight, text. The whole body, or its first body_chars characters (20,000 in the reference)."""
     level = lambda n: F.transform(F.filter("headings", lambda h: h["level"] == n), lambda h: h["text"])
     one = lambda c: F.array(F.coalesce(c, F.lit("")))
-    texts = {"title": one(F.col("title")), "h1": F.col("h1"), "description": one(F.col("description")), "h2": level(2), "h3": level(3), "body": one(F.left("text", F.lit(20_000)))}
+    texts = {"title": one(F.col("title")), "h1": F.col("h1"), "description": one(F.col("description")), "h2": level(2), "h3": level(3), "body": one(F.col("text") if body_chars is None else F.left("text", F.lit(body_chars)))}
 
     def zone(i: int, name: str) -> Column:
         return F.transform(texts[name], lambda t: F.struct(F.lit(i).alias("zone_no"), F.lit(ZONES[name]).alias("weight"), t.alias("text")))
@@ -26,9 +26,9 @@ def zones(silver: DataFrame) -> DataFrame:
     return silver.select("site", "page_id", F.explode(rows).alias("z")).select("site", "page_id", "z.*")
 
 
-def terms(silver: DataFrame, stop: tuple[str, ...] = STOP) -> DataFrame:
+def terms(silver: DataFrame, stop: tuple[str, ...] = STOP, body_chars: int | None = None) -> DataFrame:
     """site, term, n (words in it), score, first: summed over a site with partial sums."""
-    sentences = zones(silver).select("site", "page_id", "zone_no", "weight", F.posexplode(F.split("text", r"[.!?;:()«»\"|•·—–\n]+")).alias("sentence", "text"))
+    sentences = zones(silver, body_chars).select("site", "page_id", "zone_no", "weight", F.posexplode(F.split("text", r"[.!?;:()«»\"|•·—–\n]+")).alias("sentence", "text"))
     cleaned = F.filter(F.transform(F.split(F.translate(F.lower("text"), "ё", "е"), r"[^\p{L}0-9-]+"), lambda t: F.regexp_replace(t, "^-+|-+$", "")), lambda t: t != "")
     rows = sentences.withColumn("t", cleaned)
     digits = lambda t: t.rlike("^[0-9]+$")
@@ -46,9 +46,9 @@ def terms(silver: DataFrame, stop: tuple[str, ...] = STOP) -> DataFrame:
     return found.groupBy("site", "g.term", "g.n").agg(F.sum("weight").alias("score"), seen.alias("first"))
 
 
-def keywords(silver: DataFrame, words: int = 12, phrases: int = 10, stop: tuple[str, ...] = STOP) -> DataFrame:
+def keywords(silver: DataFrame, words: int = 12, phrases: int = 10, stop: tuple[str, ...] = STOP, body_chars: int | None = None) -> DataFrame:
     """site, kind (word, phrase), rank, term, score: words by rounded score, phrases of score 3 or more relative to the best (100)."""
-    scored = terms(silver, stop).withColumn("kind", F.when(F.col("n") == 1, "word").otherwise("phrase")).where("kind = 'word' or score >= 3")
+    scored = terms(silver, stop, body_chars).withColumn("kind", F.when(F.col("n") == 1, "word").otherwise("phrase")).where("kind = 'word' or score >= 3")
     of = Window.partitionBy("site", "kind")
     ranked = scored.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "first"))).where(F.col("rank") <= F.when(F.col("kind") == "word", words).otherwise(phrases))
     shown = F.when(F.col("kind") == "word", F.floor(F.col("score") + 0.5)).otherwise(F.floor(100 * F.col("score") / F.max("score").over(of) + 0.5))
