@@ -25,11 +25,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: a cut in the lineage that a lost executor can't take away."""
-    path = shared_dir(df.sparkSession)
+    return _written(df, shared_dir(df.sparkSession))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one job, each of which goes once nothing that is still to run reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        out = _written(df, path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for _, path in (x for x in self.held if any(x[0] is t for t in tables)):
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.held = [x for x in self.held if not any(x[0] is t for t in tables)]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all but these, which what is returned still reads."""
+        self.drop(*[t for t, _ in self.held if not any(t is x for x in tables)])
+
+
 def slices(n: int, step: int) -> Iterator[slice]:
     for i in range(0, n, step):
         yield slice(i, min(n, i + step))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,14 +28,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(u, v) pairs of LONG, in any order, to (node, component): for every node that has an edge to another, its component's smallest node."""
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    scratch = scratch or Scratch(edges.sparkSession)
+    now = scratch.written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     mark = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if state == mark or state["n"] == 0:
             break
         mark = state
-        now = written(_stars(_stars(now, True), False))
+        before, now = now, scratch.written(_stars(_stars(now, True), False))
+        scratch.drop(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

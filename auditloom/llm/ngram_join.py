@@ -1,55 +1,53 @@
 """Operator 4: documents whose word 5-gram sets have a Jaccard similarity of at least 0.8, and the groups they form.
 
-1. Shingles of whole texts, hashed. Documents with the same set are one class; the smallest id stands for it.
-2. Prefix filter. All classes order their shingles alike: shingles of a low zone of the hash space first, the rarest
-   first among them, then the rest by hash. Two similar sets share at least L of their first |s| - ceil(0.8 |s|) + L
-   shingles, for every L. So a document may lengthen its prefix as long as it asks for as many shared shingles more:
-   it takes a larger L the more candidates its shortest prefix is estimated to meet (the sum of the shingles' document
-   frequencies), up to ceil(0.8 |s|), the overlap that a similar set is sure to have. A pair must share the lesser L of its
-   two documents. Shingles of one document only are never sent on;
-   documents whose prefix has no other drop out.
-3. Stars. Min-hash groups verify their members against the most shared-in member only; most copies link here. Rows
-   stay linear in the documents, however large a group is.
-4. The rest. Classes are dealt into blocks of bounded size: by component, else by their largest min-hash group if
-   it is a crowd, else by their prefix's most frequent shingle.
-   Blocks whose prefixes share as many shingles as a pair must meet in a cell, unless they are of one component or of
-   unlike lengths. There, pairs of different
-   components that share enough of their prefixes and are of like length are verified; a cell passes on no more links
-   than connect its blocks.
-
-Every link that is kept was verified on the texts' shingles; every pair of classes that could link is either verified
-or already in one component. Texts are never cut. Null and empty texts have the empty set and link with nothing. Rows that
-share a doc_id are told apart by their sets; they get their own counts. A null doc_id gets a null component.
+1. Shingles of whole texts, hashed to 64 bits. A set of n that has a similar one shares at least o = ceil(0.8 n) of its shingles
+   with it. First sieve: of the shingles in a low zone of the hash space, all but n - o must stand in other documents too.
+   Zone shingles are counted over all documents (48 bits are sent, so a chance match only lets a document through).
+   Few documents without a partner pass.
+2. What passes is put in classes of equal sets, of which one document each goes on. Its whole set is counted again, and
+   ordered by document frequency, the rarest first. Shingles of no other class go no further; a class that has fewer than o
+   others drops out.
+3. Adaptive prefix filter. Two similar sets share at least L of their first n - o + L shingles, for every L. A class takes a
+   larger L the more candidates its shortest prefix is estimated to meet (the sum of the document frequencies), up to o,
+   the overlap that a similar set is sure to have; a pair must share the lesser L of its two classes. As no partner can
+   share more than a class's s shared shingles, its partners' sizes lie from o to 2.25 s - n.
+4. Stars. Each class is compared with the most shared-in class of a prefix shingle, for the heads that it meets most.
+5. The rest. Of a prefix shingle whose classes lie in several components, those outside of the shingle's largest component
+   meet the others, by bands of size. First the most promising pair of any two components is compared, then every pair that
+   still lies across components.
+
+Rows stay linear in the documents as long as a frequent shingle's classes are connected by stars. Every link that is kept
+was verified on whole sets; every pair of classes that could link is either verified or already in one component. Texts are
+never cut. Null and empty texts have the empty set and link with nothing. Rows that share a doc_id are told apart by
+their sets; they get their own counts. A null doc_id gets a null component and links with nothing.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, table, written
+from .common import ASCII_LOWER, Scratch, table
 from .components import connected_components
 
 WORDS = 5
 PERCENT = 80
-#: Share of the hash space whose shingles are ordered by document frequency.
-ZONE = 0.25
-#: Hashes of the filter have so many bits (verification uses 64).
+#: Share of the hash space whose shingles the first sieve counts; above 1 - PERCENT / 100, as it can't tell anything below.
+ZONE = 0.3
+#: Hashes of the first sieve have so many bits (all else uses 64).
 BITS = 48
 MOST_MATCHES = 12
 #: Estimated candidates of a prefix above which, doubled each time, it asks for one more shared shingle.
 CHEAP = 2
-MIN_HASHES = 6
-#: Classes of a block, which is compared with another block in one task.
-BLOCK = 256
-#: Smaller min-hash groups don't make blocks; their classes are dealt by a shingle of their prefix.
-CROWD = 32
+#: Heads with which a class is compared first.
+HEADS = 2
+#: Sizes of one band differ by this factor at most.
+BAND = 1.08
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -77,185 +75,144 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - (n * percent + 99) // 100 + 1
+def sure(n: int, percent: int = PERCENT) -> int:
+    """The overlap that a similar set has at least with a set of n."""
+    return (n * percent + 99) // 100
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shingles(t.as_py()) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, found), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())], ["doc_id", "copy", "n", "sig"])
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)))
 
 
-def _sets(percent: int):
+def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shift, zone = np.uint64(64 - BITS), np.uint64(int(ZONE * 2**BITS))
-    salts = _FACTORS[:, None] | np.uint64(1)
+    for batch in batches:
+        found = [shingles(t.as_py()) for t in batch.column(3)]
+        short = [np.unique(s >> shift) for s in found]
+        sent = [s[: int(np.searchsorted(s, zone))] for s in short]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(map(len, found), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), _lists(sent)],
+            ["key", "doc_id", "copy", "n", "sig", "tokens"],
+        )
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[dict] = []
-            for text in batch.column(2):
-                s = shingles(text.as_py())
-                short = np.unique(s >> shift)
-                sent = short[: max(int(np.searchsorted(short, zone)), prefix_length(len(s), percent) - 1 + MOST_MATCHES)]
-                mins = [int(s[0] >> np.uint64(1))] + [int((s * f ^ (s >> np.uint64(31))).min() >> np.uint64(1)) for f in salts[: MIN_HASHES - 1, 0]] if len(s) else []
-                out.append({"n": len(s), "sig": xxhash.xxh3_128_digest(s.tobytes()), "tokens": sent.astype(np.int64).tolist(), "mins": mins})
-            fields = pa.array(out, pa.struct([("n", pa.int64()), ("sig", pa.binary()), ("tokens", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fields.flatten()], ["doc_id", "copy", "n", "sig", "tokens", "mins"])
 
-    return sets
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([shingles(t.as_py()) for t in batch.column(2)])], ["key", "n", "tokens"])
 
 
 def _prefixes(percent: int, most: int):
-    """Of each class: the shingles of its prefix that other classes have, and how many a pair must share."""
-    zone = int(ZONE * 2**BITS)
+    """Of each class: its s shingles that other classes have, the sizes of possible partners, how many shingles a pair must share, and its prefix."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"key": [], "n": [], "matches": [], "shared": [], "home": [], "prefix": []}
-            for key, n, sent, found in zip(*(batch.column(i) for i in range(4)), strict=True):
-                n, sent_in_zone = n.as_py(), sent.as_py()
-                tokens = sorted((t["token"] >= zone, t["df"] if t["token"] < zone else 0, t["token"], t["df"]) for t in found.as_py())
-                in_zone = sum(not t[0] for t in tokens)
-                alone = sent_in_zone - in_zone  # of no other document, so they stand first; such ones beyond the zone are left out of the count, which only keeps more
-                length = prefix_length(n, percent)
-                cost = sum(t[3] - 1 for t in tokens[: max(0, length - alone)])
-                matches, sure = 1, min(most, (n * percent + 99) // 100)  # a similar set need not share more than `sure`
-                while matches < sure and cost > CHEAP << matches:
+            rows = {x: [] for x in ("key", "n", "s", "lo", "hi", "matches", "prefix")}
+            for key, n, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens, df = (found.values.field(x).to_numpy() for x in ("token", "df"))
+                s, o = len(tokens), sure(n, percent)
+                if s < o:
+                    continue
+                order = np.lexsort((tokens, df))
+                tokens, costs = tokens[order], np.cumsum(df[order] - 1)
+                matches = 1
+                while matches < min(most, o) and costs[s - o] > CHEAP << matches:
                     matches += 1
-                taken = tokens[: max(0, length - 1 + matches - alone)]
-                if taken:
-                    rows["key"].append(key.as_py())
-                    rows["n"].append(n)
-                    rows["matches"].append(matches)
-                    rows["shared"].append(in_zone / max(1, sent_in_zone))
-                    rows["home"].append(max(taken, key=lambda t: (t[3], t[2]))[2])
-                    rows["prefix"].append([t[2] for t in taken])
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("key", pa.int64()), ("n", pa.int64()), ("matches", pa.int64()), ("shared", pa.float64()), ("home", pa.int64()), ("prefix", pa.list_(pa.int64()))]))
+                for x, v in zip(rows, (key, n, s, o, (100 + percent) * s // percent - n, matches, tokens[: s - o + matches].tolist()), strict=True):
+                    rows[x].append(v)
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([(x, pa.int64()) for x in list(rows)[:-1]] + [("prefix", pa.list_(pa.int64()))]))
 
     return prefixes
 
 
-def _verified(percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+def _shared(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, token) of all sets; (token, df) of the tokens that several sets have. Counts combine before the shuffle."""
+    tokens = sets.select("key", F.explode("tokens").alias("token"))
+    return tokens, tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
 
-        def of(key: int, text: str) -> np.ndarray:
-            if key not in recent:
-                recent[key] = shingles(text)
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            return recent[key]
 
-        for batch in batches:
-            u, v, a, b = (batch.column(i) for i in range(4))
-            ok = [similar(of(x.as_py(), s.as_py()), of(y.as_py(), t.as_py()), percent) for x, y, s, t in zip(u, v, a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return verify
-
-
-def _cell(percent: int):
-    """Links between two blocks of classes, as few as connect what they connect. Classes of one component aren't compared."""
-
-    def compare(rows: pa.Table) -> pa.Table:
-        links: list[tuple[int, int]] = []
-        key, n, matches = (rows.column(c).to_numpy() for c in ("key", "n", "matches"))
-        component = [k if c is None else c for k, c in zip(key.tolist(), rows.column("component").to_pylist(), strict=True)]
-        first = rows.column("block").to_numpy() == rows.column("a")[0].as_py()
-        lists = rows.column("prefix").combine_chunks()
-        tokens, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-        has = np.zeros((len(key), len(tokens)), np.float32)
-        has[np.repeat(np.arange(len(key)), lists.value_lengths().to_numpy(zero_copy_only=False)), at] = 1
-        left, right = (np.flatnonzero(first), np.flatnonzero(first)) if first.all() else (np.flatnonzero(first), np.flatnonzero(~first))
-        common = has[left] @ has[right].T
-        near = (common >= np.minimum.outer(matches[left], matches[right])) & (100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right]))
-        root: dict[int, int] = {}
-
-        def of(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
-        texts, sets = rows.column("text"), {}
-        for i, j in zip(*np.nonzero(near), strict=True):
-            u, v = int(left[i]), int(right[j])
-            if u == v or of(component[u]) == of(component[v]):
-                continue
-            for x in (u, v):
-                if x not in sets:
-                    sets[x] = shingles(texts[x].as_py())
-            if similar(sets[u], sets[v], percent):
-                links.append((int(key[u]), int(key[v])))
-                root[of(component[u])] = of(component[v])
-        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
-
-    return compare
-
-
-def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are similar. v's text travels to u's, so the text of a much paired u moves once."""
-    met = pairs.join(texts.withColumnRenamed("key", "v").withColumnRenamed("text", "b"), "v").join(texts.withColumnRenamed("key", "u").withColumnRenamed("text", "a"), "u")
-    return met.select("u", "v", "a", "b").mapInArrow(_verified(percent), "u long, v long")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that are similar. v's set travels to u's, so the set of a much paired u moves once."""
+    one, other = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "uv")
+    met = pairs.select("u", "v").join(other, "v").join(one, "u")
+    both = F.size(F.array_intersect("tokens_u", "tokens_v"))
+    return met.where(100 * both >= percent * (F.col("n_u") + F.col("n_v") - both)).select("u", "v")
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.log(size) / F.log(F.lit(BAND))).cast("int")
+
+
+def _fit(a: str, b: str) -> str:
+    return f"n_{b} between lo_{a} and hi_{a}"
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """u, v, common, component_u, component_v: pairs of classes of different components whose prefixes share enough, of sizes that fit.
+
+    members: token, key, n, lo, hi, matches, component."""
+    several = members.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("components"), F.max(F.struct("k", "component")).alias("most"))
+    met = members.join(several.where("components > 1").select("token", F.col("most.component").alias("largest")), "token").withColumn("other", F.col("component") != F.col("largest"))
+    one, two = (met.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "lo", "hi", "matches", "component", "other")]) for x in "ab")
+    one = one.where("other_a").withColumn("band", F.explode(F.sequence(_band(F.col("lo_a")), _band(F.col("hi_a")))))
+    two = two.withColumn("band", _band(F.col("n_b")))
+    pairs = one.join(two, ["token", "band"]).where(f"component_a != component_b and (not other_b or key_a < key_b) and {_fit('a', 'b')} and {_fit('b', 'a')}")
+    first = F.col("key_a") < F.col("key_b")
+    ends = [F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(name) for c, x, y, name in (("key", "a", "b", "u"), ("key", "b", "a", "v"), ("component", "a", "b", "component_u"), ("component", "b", "a", "component_v"))]
+    counted = pairs.select(*ends, F.least("matches_a", "matches_b").alias("asked")).groupBy("u", "v", "component_u", "component_v").agg(F.count("*").alias("common"), F.min("asked").alias("asked"))
+    return counted.where("common >= asked").select("u", "v", "common", "component_u", "component_v")
 
 
 def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Of each row: doc_id, n_shingles, component_id."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    sizes = written(docs.mapInArrow(_sizes, "doc_id long, copy long, n long, sig binary"))
-    classes = written(sizes.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min(F.struct("doc_id", "copy")).alias("of")).select("sig", "n", "of.*").withColumn("key", F.monotonically_increasing_id()))
-    of_class = classes.select("sig", "doc_id", "copy", "key")
-    sets = docs.mapInArrow(_sets(percent), "doc_id long, copy long, n long, sig binary, tokens array<long>, mins array<long>")
-    kept = sets.where("n > 0").join(of_class, ["sig", "doc_id", "copy"]).dropDuplicates(["sig", "doc_id", "copy"])
-    kept = written(kept.select("key", "n", "tokens", "mins", "doc_id", "copy"))
-
-    # document frequencies; shingles of one class only go no further
-    zone = int(ZONE * 2**BITS)
-    tokens = kept.select("key", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    found = tokens.join(shared, "token").groupBy("key").agg(F.collect_list(F.struct("token", "df")).alias("found"))
-    counts = kept.select("key", "n", F.size(F.filter("tokens", lambda t: t < zone)).cast("long").alias("sent_in_zone"))
-    prefixes = written(counts.join(found, "key").select("key", "n", "sent_in_zone", "found").mapInArrow(_prefixes(percent, MOST_MATCHES), "key long, n long, matches long, shared double, home long, prefix array<long>"))
-    mine = written(kept.select("key", "doc_id", "copy", "mins").join(prefixes.select("key", "shared"), "key"))
-    texts = written(docs.join(mine.select("key", "doc_id", "copy"), ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select("key", "text"))
+    scratch = Scratch(df.sparkSession)
+    docs = df.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    zones = scratch.written(docs.mapInArrow(_zones, "key long, doc_id long, copy long, n long, sig binary, tokens array<long>"))
+    able = zones.where("n > 0 and doc_id is not null")
+
+    # the first sieve, and classes of what passes
+    tokens, several = _shared(able)
+    held = tokens.join(several.select("token"), "token").groupBy("key").agg(F.count("*").alias("shared"))
+    passed = able.withColumn("z", F.size("tokens")).drop("tokens").join(held, "key", "left").where(f"coalesce(shared, 0) >= z - n + (n * {percent} + 99) div 100")
+    classes = scratch.written(passed.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "copy", "key")).alias("of")).select("sig", "n", "of.*"))
+    texts = docs.select("doc_id", "copy", "text").join(classes.select("doc_id", "copy", "key", "n"), ["doc_id", "copy"])
+    texts = texts.groupBy("doc_id", "copy", "key", "n").agg(F.first("text").alias("text")).select("key", "n", "text")
+    sets = scratch.written(texts.mapInArrow(_sets, "key long, n long, tokens array<long>"))
+
+    # prefixes
+    tokens, several = _shared(sets)
+    found = tokens.join(several, "token").groupBy("key").agg(F.collect_list(F.struct("token", "df")).alias("found"))
+    prefixes = sets.select("key", "n").join(found, "key").select("key", "n", "found").mapInArrow(_prefixes(percent, MOST_MATCHES), "key long, n long, s long, lo long, hi long, matches long, prefix array<long>")
+    prefixes = scratch.written(prefixes.where("hi >= lo"))
+    members = prefixes.select("key", "n", "lo", "hi", "matches", (F.col("s") / F.col("n")).alias("share"), F.explode("prefix").alias("token"))
 
     # stars
-    minned = mine.select("key", "shared", F.posexplode("mins").alias("j", "least"))
-    heads = minned.groupBy("j", "least").agg(F.max(F.struct("shared", (-F.col("key")).alias("key"))).alias("head"), F.count("*").alias("members")).where("members > 1")
-    starred = written(minned.join(heads.select("j", "least", "members", (-F.col("head.key")).alias("u")), ["j", "least"]).select("u", F.col("key").alias("v"), "members", "j", "least"))
-    stars = starred.where("u != v").select("u", "v").distinct()
-    crowds = starred.groupBy(F.col("v").alias("key")).agg(F.max(F.struct("members", "j", "least")).alias("crowd")).where(F.col("crowd.members") >= CROWD).select("key", F.xxhash64("crowd.j", "crowd.least").alias("crowd"))
-    star_links = written(_links(stars, texts, percent))
-    groups = written(connected_components(star_links))
+    heads = members.groupBy("token").agg(F.max(F.struct("share", (-F.col("key")).alias("less"), F.struct("key", "n", "lo", "hi").alias("of"))).alias("head"), F.count("*").alias("k"))
+    heads = heads.where("k > 1").select("token", *[F.col(f"head.of.{c}").alias(f"{c}_h") for c in ("key", "n", "lo", "hi")])
+    met = members.join(heads, "token").where("key != key_h and n_h between lo and hi and n between lo_h and hi_h").groupBy("key", "key_h").agg(F.count("*").alias("common"))
+    stars = met.groupBy(F.col("key").alias("v")).agg(F.slice(F.sort_array(F.collect_list(F.struct("common", "key_h")), False), 1, HEADS).alias("heads"))
+    links = scratch.written(_verified(stars.select("v", F.explode("heads").alias("h")).select(F.col("h.key_h").alias("u"), "v"), sets, percent))
+    groups = connected_components(links, scratch)
 
     # the rest
-    held = prefixes.join(groups.withColumnRenamed("node", "key"), "key", "left").join(crowds, "key", "left")
-    held = held.withColumn("family", F.xxhash64(F.col("component").isNull(), F.coalesce("component", "crowd", "home")))
-    sized = held.groupBy("family").agg(F.count("*").alias("members"))
-    held = held.join(sized, "family").withColumn("block", F.xxhash64("family", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BLOCK))))
-    held = written(held.select("key", "n", "matches", "component", "family", "block", "prefix"))
-    blocks = written(held.groupBy("block").agg(F.first("component").alias("component"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("matches").alias("matches")))
-    present = held.select("block", F.explode("prefix").alias("token")).distinct()
-    several = present.groupBy("token").agg(F.count("*").alias("blocks")).where("blocks > 1").select("token")
-    present = present.join(several, "token").join(blocks, "block")
-    one, other = (present.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "component", "least", "most", "matches")]) for x in ("a", "b"))
-    unlike = f"(component_a is null or component_b is null or component_a != component_b) and 100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a"
-    apart = one.join(other, "token").where(f"block_a < block_b and {unlike}").groupBy(F.col("block_a").alias("a"), F.col("block_b").alias("b")).agg(F.count("*").alias("common"), F.first(F.least("matches_a", "matches_b")).alias("asked"))
-    apart = apart.where("common >= asked").select("a", "b")
-    within = held.where("component is null").groupBy("block").agg(F.count("*").alias("members")).where("members > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
-    cells = written(apart.unionByName(within))
-    sides = cells.withColumn("block", F.col("a")).unionByName(cells.where("a != b").withColumn("block", F.col("b")))
-    docs_of = held.join(texts, "key").select("block", "key", "n", "matches", "component", "prefix", "text")
-    links = sides.join(docs_of, "block").groupBy("a", "b").applyInArrow(_cell(percent), "u long, v long")
-    groups = written(connected_components(star_links.unionByName(links)))
+    placed = members.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    across = scratch.written(_across(placed))
+    ends = F.least("component_u", "component_v"), F.greatest("component_u", "component_v")
+    best = scratch.written(across.groupBy(*ends).agg(F.max(F.struct("common", "u", "v")).alias("of")).select("of.u", "of.v"))
+    more = scratch.written(links.unionByName(_verified(best, sets, percent)))
+    now = connected_components(more, scratch)
+    of = lambda x: now.select(F.col("node").alias(x), F.col("component").alias(f"now_{x}"))
+    left = across.join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(now_u, u) != coalesce(now_v, v)")
+    groups = connected_components(scratch.written(more.unionByName(_verified(left, sets, percent))), scratch)
 
     # back to documents: the smallest id of a component's classes
-    label = classes.join(groups.withColumnRenamed("node", "key"), "key").select("key", "sig", "doc_id", "component")
+    label = classes.select("sig", "doc_id", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = label.join(least, "component").select("key", "component_id")
-    of = classes.join(linked, "key", "left").select("sig", F.coalesce("component_id", "doc_id").alias("class_id"))
-    all_rows = sizes.select("doc_id", F.col("n").alias("n_shingles"), "sig")
-    return all_rows.join(of, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("component_id"))
+    of_sets = scratch.written(label.join(least, "component").select("sig", "component_id"))
+    rows = zones.select("doc_id", F.col("n").alias("n_shingles"), "sig")
+    scratch.keep(zones, of_sets)
+    out = rows.join(of_sets, "sig", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def near_duplicates_removed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -263,7 +220,9 @@ def near_duplicates_removed(df: DataFrame, text: str = "text", doc_id: str = "do
     groups = similar_groups(df, text, doc_id, percent)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__stays")).distinct()
     kept = df.join(stay, F.col(doc_id) == F.col("__stays")).drop("__stays")
-    one = kept.groupBy(doc_id).agg(F.min(F.struct(text, *[c for c in df.columns if c not in (text, doc_id)])).alias("__row"))
+    rest = [c for c in df.columns if c not in (text, doc_id)]
+    order = F.struct(text, F.to_json(F.struct(*rest)) if rest else F.lit(0))  # as JSON, since maps can't be compared
+    one = kept.groupBy(doc_id).agg(F.min_by(F.struct(text, *rest), order).alias("__row"))
     one = one.select(*[F.col(doc_id) if c == doc_id else F.col("__row")[c].alias(c) for c in df.columns])
     return one.unionByName(df.where(F.col(doc_id).isNull()))
 

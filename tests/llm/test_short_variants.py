@@ -22,10 +22,11 @@ def _brute_groups(rows):
 @pytest.mark.parametrize("n", range(1, 30))
 def test_no_class_is_asked_for_more_than_similarity_needs(n):
     found = [[{"token": t, "df": 10_000} for t in range(n)]]
-    kinds = [("key", pa.int64()), ("n", pa.int64()), ("sent_in_zone", pa.int64()), ("found", pa.list_(pa.struct([("token", pa.int64()), ("df", pa.int64())])))]
-    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(([0], [n], [n], found), kinds, strict=True)], [k for k, _ in kinds])
+    kinds = [("key", pa.int64()), ("n", pa.int64()), ("found", pa.list_(pa.struct([("token", pa.int64()), ("df", pa.int64())])))]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(([0], [n], found), kinds, strict=True)], [k for k, _ in kinds])
     (out,) = ngram_join._prefixes(80, ngram_join.MOST_MATCHES)(iter([batch]))
-    assert out.column(2)[0].as_py() <= -(-n * 80 // 100)
+    asked, prefix = out.column("matches")[0].as_py(), out.column("prefix")[0].as_py()
+    assert asked <= -(-n * 80 // 100) and len(prefix) == n - -(-n * 80 // 100) + asked
 
 
 def test_variants_of_short_texts_match_brute_force(spark):
