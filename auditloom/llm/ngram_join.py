@@ -7,10 +7,11 @@
 2. What passes is put in classes of equal sets, of which one document each goes on. Its whole set is counted again, and
    ordered by document frequency, the rarest first. Shingles of no other class go no further; a class that has fewer than o
    others drops out.
-3. Adaptive prefix filter. Two similar sets share at least L of their first n - o + L shingles, for every L. A class takes a
-   larger L the more candidates its shortest prefix is estimated to meet (the sum of the document frequencies), up to o,
-   the overlap that a similar set is sure to have; a pair must share the lesser L of its two classes. As no partner can
-   share more than a class's s shared shingles, its partners' sizes lie from o to 2.25 s - n.
+3. Adaptive prefix filter. Two similar sets of n and m have ceil(4/9 (n + m)) shingles in common, so they share at least L of
+   the first n - ceil(4/9 (n + m)) + L of either, for every L. A class takes the L of the fewest estimated candidates (those that
+   share L shingles of a prefix are at most the sum of its document frequencies, divided by L), up to o, the overlap that a
+   similar set is sure to have; a pair must share the lesser L of its two classes, at positions that their two sizes allow. As no
+   partner can share more than a class's s shared shingles, its partners' sizes lie from o to 2.25 s - n.
 4. Stars. Each class is compared with the most shared-in class of a prefix shingle, for the heads that it meets most.
 5. The rest. Of a prefix shingle whose classes lie in several components, those outside of the shingle's largest component
    meet the others, by bands of size. First the most promising pair of any two components is compared, then every pair that
@@ -42,8 +43,6 @@ ZONE = 0.3
 #: Hashes of the first sieve have so many bits (all else uses 64).
 BITS = 48
 MOST_MATCHES = 12
-#: Estimated candidates of a prefix above which, doubled each time, it asks for one more shared shingle.
-CHEAP = 2
 #: Heads with which a class is compared first.
 HEADS = 2
 #: Sizes of one band differ by this factor at most.
@@ -80,6 +79,11 @@ def sure(n: int, percent: int = PERCENT) -> int:
     return (n * percent + 99) // 100
 
 
+def needed(n: int, m: int, percent: int = PERCENT) -> int:
+    """The overlap of similar sets of n and m."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)))
@@ -115,9 +119,9 @@ def _prefixes(percent: int, most: int):
                     continue
                 order = np.lexsort((tokens, df))
                 tokens, costs = tokens[order], np.cumsum(df[order] - 1)
-                matches = 1
-                while matches < min(most, o) and costs[s - o] > CHEAP << matches:
-                    matches += 1
+                asks = np.arange(1, min(most, o) + 1)
+                lengths = np.clip(s - needed(n, n, percent) + asks, asks, s)  # of the prefix that meets sets of its own size
+                matches = int(asks[np.argmin(costs[lengths - 1] / asks)])
                 for x, v in zip(rows, (key, n, s, o, (100 + percent) * s // percent - n, matches, tokens[: s - o + matches].tolist()), strict=True):
                     rows[x].append(v)
             yield pa.RecordBatch.from_pydict(rows, pa.schema([(x, pa.int64()) for x in list(rows)[:-1]] + [("prefix", pa.list_(pa.int64()))]))
@@ -147,16 +151,23 @@ def _fit(a: str, b: str) -> str:
     return f"n_{b} between lo_{a} and hi_{a}"
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _needed(n: str, m: str, percent: int) -> str:
+    return f"(({percent} * ({n} + {m}) + 99 + {percent}) div (100 + {percent}))"
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
     """u, v, common, component_u, component_v: pairs of classes of different components whose prefixes share enough, of sizes that fit.
 
-    members: token, key, n, lo, hi, matches, component."""
+    members: token, pos (of the token in the prefix), key, n, s, lo, hi, matches, component."""
     several = members.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("components"), F.max(F.struct("k", "component")).alias("most"))
     met = members.join(several.where("components > 1").select("token", F.col("most.component").alias("largest")), "token").withColumn("other", F.col("component") != F.col("largest"))
-    one, two = (met.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "lo", "hi", "matches", "component", "other")]) for x in "ab")
+    one, two = (met.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "pos", "n", "s", "lo", "hi", "matches", "component", "other")]) for x in "ab")
     one = one.where("other_a").withColumn("band", F.explode(F.sequence(_band(F.col("lo_a")), _band(F.col("hi_a")))))
+    one = one.where(f"pos_a < s_a - {_needed('n_a', f'greatest(lo_a, cast(floor(pow({BAND}, band)) as long) - 1)', percent)} + matches_a")
     two = two.withColumn("band", _band(F.col("n_b")))
     pairs = one.join(two, ["token", "band"]).where(f"component_a != component_b and (not other_b or key_a < key_b) and {_fit('a', 'b')} and {_fit('b', 'a')}")
+    within = lambda x: f"pos_{x} < s_{x} - {_needed('n_a', 'n_b', percent)} + least(matches_a, matches_b)"
+    pairs = pairs.where(f"{within('a')} and {within('b')}")
     first = F.col("key_a") < F.col("key_b")
     ends = [F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(name) for c, x, y, name in (("key", "a", "b", "u"), ("key", "b", "a", "v"), ("component", "a", "b", "component_u"), ("component", "b", "a", "component_v"))]
     counted = pairs.select(*ends, F.least("matches_a", "matches_b").alias("asked")).groupBy("u", "v", "component_u", "component_v").agg(F.count("*").alias("common"), F.min("asked").alias("asked"))
@@ -184,7 +195,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
     found = tokens.join(several, "token").groupBy("key").agg(F.collect_list(F.struct("token", "df")).alias("found"))
     prefixes = sets.select("key", "n").join(found, "key").select("key", "n", "found").mapInArrow(_prefixes(percent, MOST_MATCHES), "key long, n long, s long, lo long, hi long, matches long, prefix array<long>")
     prefixes = scratch.written(prefixes.where("hi >= lo"))
-    members = prefixes.select("key", "n", "lo", "hi", "matches", (F.col("s") / F.col("n")).alias("share"), F.explode("prefix").alias("token"))
+    members = prefixes.select("key", "n", "s", "lo", "hi", "matches", (F.col("s") / F.col("n")).alias("share"), F.posexplode("prefix").alias("pos", "token"))
 
     # stars
     heads = members.groupBy("token").agg(F.max(F.struct("share", (-F.col("key")).alias("less"), F.struct("key", "n", "lo", "hi").alias("of"))).alias("head"), F.count("*").alias("k"))
@@ -196,7 +207,7 @@ def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
 
     # the rest
     placed = members.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    across = scratch.written(_across(placed))
+    across = scratch.written(_across(placed, percent))
     ends = F.least("component_u", "component_v"), F.greatest("component_u", "component_v")
     best = scratch.written(across.groupBy(*ends).agg(F.max(F.struct("common", "u", "v")).alias("of")).select("of.u", "of.v"))
     more = scratch.written(links.unionByName(_verified(best, sets, percent)))
