@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Misses whose merges a worker keeps; at this many it starts anew.
-KEPT_MISSES = 300_000
+KEPT_MISSES = 100_000
 #: Texts are solved in groups of so many characters, which bounds a worker's memory.
 GROUP_CHARS = 1_500_000
 
@@ -158,23 +158,43 @@ def _coder(ranks_file: str, pattern: str) -> ByteBpe:
         return ByteBpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
+def _encoded(coder: ByteBpe, texts: pa.Array) -> Iterator[bytes]:
+    group, chars = [], 0
+    for t in texts:
+        group.append(t.as_py() or "")
+        chars += len(group[-1])
+        if chars > GROUP_CHARS:
+            yield from coder.packed_ids(group)
+            group, chars = [], 0
+    yield from coder.packed_ids(group)
+
+
 def encoded(text: Column, ranks_file: str, pattern: str) -> Column:
     """BINARY: the ids of a text as little-endian unsigned 32-bit integers; empty for null."""
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        coder, out, group, chars = _coder(ranks_file, pattern), [], [], 0
-        for t in texts:
-            group.append(t.as_py() or "")
-            chars += len(group[-1])
-            if chars > GROUP_CHARS:
-                out += coder.packed_ids(group)
-                group, chars = [], 0
-        return pa.array(out + coder.packed_ids(group), pa.binary())
+        return pa.array(_encoded(_coder(ranks_file, pattern), texts), pa.binary())
 
     return encode(text)
 
 
+def round_trip(df: DataFrame, ranks_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds token_ids (packed), n_tokens and decoded, the bytes that the ids stand for; such columns of df are replaced.
+
+    As encode_documents and decode_documents, but by one Python worker a task, which holds one coder."""
+    found = "__round_trip"
+
+    @F.arrow_udf("ids binary, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        coder = _coder(ranks_file, pattern)
+        ids = list(_encoded(coder, texts))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(coder.decoded, ids), pa.binary())], ["ids", "decoded"])
+
+    met = df.withColumn(found, both(F.col(text)))
+    return met.withColumns({"token_ids": F.col(found)["ids"], "n_tokens": F.expr(f"octet_length({found}.ids) div 4").cast("long"), "decoded": F.col(found)["decoded"]}).drop(found)
+
+
 def decode_documents(df: DataFrame, ranks_file: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that packed ids stand for (empty for null); such a column of df is replaced."""
     df = df.drop(out)
@@ -198,6 +218,5 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     args = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *args).drop("text")
-    found = decode_documents(docs, *args)
+    found = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *args)
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

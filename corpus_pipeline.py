@@ -39,7 +39,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     args = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    found = byte_bpe.decode_documents(byte_bpe.encode_documents(docs.select("doc_id", "text"), *args).drop("text"), *args)
+    found = byte_bpe.round_trip(docs.select("doc_id", "text"), *args)
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
 
 
