@@ -14,6 +14,8 @@ text is `und`.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 BITS = 14
 CENTROIDS = 4
@@ -33,6 +35,16 @@ MARGIN = 0.5
 UND = "und"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that aren't decimal digits (Ⅷ, ½, ②) are no letters either.
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+
+
+def letters(text: str | None) -> str:
+    """The lower-cased letters and marks of a text; one space stands for whatever lies between them."""
+    words = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not words.isascii() and (odd := _NUMBERS.intersection(words)):
+        words = " ".join(words.translate(dict.fromkeys(map(ord, odd), " ")).split())
+    return words
 
 
 class Model(NamedTuple):
@@ -45,7 +57,7 @@ class Model(NamedTuple):
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's letter trigrams, word ends included, and their counts."""
-    words = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    words = letters(text)
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     c = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -84,7 +96,7 @@ def _sparse(text: Column) -> Column:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_per_lang: int = MAX_PER_LANG, centroids: int = CENTROIDS) -> Model:
     """From rows with a language; rows without one, or without a letter, teach nothing."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    rows = small_batches(labelled).select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not of:
         return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0, int), 0.0)
@@ -135,7 +147,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred, score and rejected; such columns of df are replaced."""
     held = df.sparkSession.sparkContext.broadcast(model)  # of a fixed size: buckets x centroids x languages
     found = "__found"
-    return df.withColumn(found, predicted(held, F.col(text))).withColumns({x: F.col(found)[x] for x in ("lang_pred", "score", "rejected")}).drop(found)
+    return small_batches(df).withColumn(found, predicted(held, F.col(text))).withColumns({x: F.col(found)[x] for x in ("lang_pred", "score", "rejected")}).drop(found)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
