@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 #: Misses whose merges a worker keeps; at this many it starts anew.
 KEPT_MISSES = 100_000
@@ -191,13 +191,13 @@ def round_trip(df: DataFrame, ranks_file: str, pattern: str, text: str = "text")
         ids = list(_encoded(coder, texts))
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(coder.decoded, ids), pa.binary())], ["ids", "decoded"])
 
-    met = df.withColumn(found, both(F.col(text)))
+    met = small_batches(df).withColumn(found, both(F.col(text)))
     return met.withColumns({"token_ids": F.col(found)["ids"], "n_tokens": F.expr(f"octet_length({found}.ids) div 4").cast("long"), "decoded": F.col(found)["decoded"]}).drop(found)
 
 
 def decode_documents(df: DataFrame, ranks_file: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that packed ids stand for (empty for null); such a column of df is replaced."""
-    df = df.drop(out)
+    df = small_batches(df).drop(out)
     at = df.columns.index(ids)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def decode_documents(df: DataFrame, ranks_file: str, pattern: str, ids: str = "t
 
 def encode_documents(df: DataFrame, ranks_file: str, pattern: str, text: str = "text") -> DataFrame:
     """Adds token_ids (packed) and n_tokens; such columns of df are replaced."""
-    return df.withColumn("token_ids", encoded(F.col(text), ranks_file, pattern)).withColumn("n_tokens", F.expr("octet_length(token_ids) div 4").cast("long"))
+    return small_batches(df).withColumn("token_ids", encoded(F.col(text), ranks_file, pattern)).withColumn("n_tokens", F.expr("octet_length(token_ids) div 4").cast("long"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

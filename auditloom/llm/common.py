@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Only a session without that setting, as in tests, gets a temporary one."""
+    """A new folder under spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/auditloom-{uuid.uuid4().hex}"
@@ -57,6 +59,19 @@ class Scratch:
         self.drop(*[t for t, _ in self.held if not any(t is x for x in tables)])
 
 
+#: Bytes of texts that Spark hands to a Python worker at once, which bounds the memory of both.
+BATCH_BYTES = 4 << 20
+_DEFAULT = ("67108864b", "67108864", "64m", "64MB")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session gives Python workers batches of BATCH_BYTES at most from now on (or what is set, if that isn't Spark's default)."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) in _DEFAULT:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def slices(n: int, step: int) -> Iterator[slice]:
     for i in range(0, n, step):
         yield slice(i, min(n, i + step))

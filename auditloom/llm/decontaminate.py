@@ -22,7 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -201,7 +201,7 @@ def find_benchmark_passages(df: DataFrame, benchmark: DataFrame, text: str = "te
         return pa.array(list(scan(texts)), kind)
 
     found = "__passages"
-    return df.withColumn(found, passages(F.col(text))).withColumns({x: F.col(found)[x] for x in ("n_words", "n_hit", "items", "clean_text")}).drop(found)
+    return small_batches(df).withColumn(found, passages(F.col(text))).withColumns({x: F.col(found)[x] for x in ("n_words", "n_hit", "items", "clean_text")}).drop(found)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, **how) -> DataFrame:

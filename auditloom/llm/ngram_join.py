@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, table
+from .common import ASCII_LOWER, Scratch, small_batches, table
 from .components import connected_components
 
 WORDS = 5
@@ -177,7 +177,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 def similar_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Of each row: doc_id, n_shingles, component_id."""
     scratch = Scratch(df.sparkSession)
-    docs = df.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    docs = small_batches(df).select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
     zones = scratch.written(docs.mapInArrow(_zones, "key long, doc_id long, copy long, n long, sig binary, tokens array<long>"))
     able = zones.where("n > 0 and doc_id is not null")
 

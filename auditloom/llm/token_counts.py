@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 MARK = "▁"
 #: Units whose solution a worker keeps; at this many it starts anew.
@@ -179,7 +179,7 @@ def token_counts(df: DataFrame, model_file: str, text: str = "text", budget: int
     """Adds n_bytes, n_tokens, over_limit and fits (code points that the budget buys); such columns of df are replaced."""
     answers = "__budget_answers"
     return (
-        df.withColumn(answers, budget_answers(prefix_steps(F.col(text), model_file), budget))
+        small_batches(df).withColumn(answers, budget_answers(prefix_steps(F.col(text), model_file), budget))
         .withColumns({
             "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"),
             "n_tokens": F.col(answers)["n_tokens"],
