@@ -8,9 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Weights of the zones.
+# Weights of the zones, and the stop words.
 ZONES = {"title": 5.0, "h1": 4.0, "description": 3.0, "h2": 2.0, "h3": 1.5, "body": 1.0}
-STOP = tuple("the and for with that this from you your are our was were have has not but all can will about into more also its they them their what when which who how why".split())
+STOP = tuple("""
+и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее её мне было вот от меня еще ещё нет о из
+ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может они тут
+где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому этого какой
+совсем ним здесь этом один почти мой тем чтобы нее сейчас были куда зачем всех никогда можно при наконец два об другой хоть после над
+больше тот через эти нас про всего них какая много разве три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой
+им более всегда конечно всю между это наш ваш ваши наши вашего вашей нашей наших вашу также которые который которая которых очень весь
+всё свой своих мы вы ваш как так этот эта эти то это чтобы или либо ещё уже просто каждый любой свою своего своей наш
+the and for with that this from you your are our was were have has not but all can will about into more also its it's his her they them
+their what when which who how why use using get
+""".split())
 
 
 def zones(silver: DataFrame, body_chars: int | None = None) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.operators import keywords
-from auditloom.plans import checks, oracle_sql
+from auditloom.plans import checks, crawl, oracle_sql
 from auditloom.sources.html import parse_pages
 from auditloom.streaming import ratelimit
+from auditloom.tables import table, written
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """Parsed once; everything else reads columns of the written table."""
+    return written(parse_pages(table(spark, sf_dir, "pages")))
 
 
 def site_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,8 @@ def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.site_scores(category_scores(spark, sf_dir))
+    results = site_checks(spark, sf_dir)
+    return checks.all_sites(checks.site_scores(checks.category_scores(results)), results)
 
 
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +39,23 @@ def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver(spark, sf_dir).select("page_id", "site", "url", "title", "words", "depth", "is_home", F.size("links").alias("n_links"))
+    return parse_pages(table(spark, sf_dir, "pages")).select("page_id", "site", "url", "title", "words", "depth", "is_home", F.size("links").alias("n_links"))
+
+
+def site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.stats(site_checks(spark, sf_dir))
+
+
+def weakest_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.weakest_categories(category_scores(spark, sf_dir))
+
+
+def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.edges(silver(spark, sf_dir))
+
+
+def near_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.near_duplicates(silver(spark, sf_dir))
 
 
 def site_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +66,7 @@ def affected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.affected_pages(silver(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_keywords, ratelimit.rate_limiter)}
+QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, site_keywords, ratelimit.rate_limiter)}
 
 SQL = {
     "site_checks": oracle_sql.SITE_CHECKS,
@@ -55,4 +74,10 @@ SQL = {
     "site_scores": oracle_sql.SITE_SCORES,
     "action_plan": oracle_sql.ACTION_PLAN,
     "page_facts": oracle_sql.PAGE_FACTS,
+    "site_stats": oracle_sql.SITE_STATS,
+    "weakest_categories": oracle_sql.WEAKEST,
+    "link_edges": oracle_sql.LINK_EDGES,
+    "near_duplicate_pages": oracle_sql.NEAR_DUPLICATES,
+    "affected_pages": oracle_sql.AFFECTED_PAGES,
+    "page_summary": oracle_sql.PAGE_SUMMARY,
 }

@@ -8,7 +8,7 @@ may fetch. A group that names a bot but has no rules still hides `*`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Known keys, and the bots whose access is reported, in order.
@@ -16,12 +16,20 @@ KNOWN = ("user-agent", "disallow", "allow", "sitemap", "crawl-delay", "host", "c
 AI_BOTS = ("GPTBot", "OAI-SearchBot", "ChatGPT-User", "PerplexityBot", "ClaudeBot", "anthropic-ai", "Google-Extended", "Bingbot", "YandexBot", "Applebot-Extended")
 
 
+def is_text() -> Column:
+    return ~F.coalesce(F.contains(F.lower("content_type"), F.lit("html")), F.lit(False)) & ~F.coalesce(F.col("body").rlike(r"(?is)^\s*<(!doctype|html)"), F.lit(False))
+
+
+def _trim(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
+
+
 def directives(robots: DataFrame) -> DataFrame:
     """site, line, key, value, group_no: known lines in order. robots: site, status, content_type, body."""
-    text = F.coalesce(F.col("status") == 200, F.lit(False)) & ~F.coalesce(F.contains(F.lower("content_type"), F.lit("html")), F.lit(False)) & ~F.coalesce(F.col("body").rlike(r"(?is)^\s*<(!doctype|html)"), F.lit(False))
+    text = F.coalesce(F.col("status") == 200, F.lit(False)) & is_text()
     lines = robots.where(text).select("site", F.posexplode(F.split("body", "\r?\n")).alias("line", "raw"))
-    cut = lines.withColumn("raw", F.regexp_replace("raw", "#.*$", "")).withColumn("at", F.instr("raw", ":")).where("at > 1")
-    known = cut.select("site", "line", F.lower(F.trim(F.expr("left(raw, at - 1)"))).alias("key"), F.trim(F.expr("substring(raw, at + 1)")).alias("value")).where(F.col("key").isin(*KNOWN))
+    cut = lines.withColumn("raw", _trim(F.regexp_replace("raw", "#.*$", ""))).withColumn("at", F.instr("raw", ":")).where("at > 1")
+    known = cut.select("site", "line", F.lower(_trim(F.expr("left(raw, at - 1)"))).alias("key"), _trim(F.expr("substring(raw, at + 1)")).alias("value")).where(F.col("key").isin(*KNOWN))
     order = Window.partitionBy("site").orderBy("line")
     before = F.last(F.when(F.col("key") != "sitemap", F.col("key")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     begins = (F.col("key") == "user-agent") & (F.coalesce(before, F.lit("")) != "user-agent")

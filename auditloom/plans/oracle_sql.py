@@ -4,24 +4,64 @@ from __future__ import annotations
 
 from .registry import CATEGORIES, PAGE_CHECKS, SEVERITIES
 
+def _tag(tag: str, name: str) -> str:
+    return f"""regexp_extract(seen, '(?is)<{tag}\\s[^>]*name=["'']?{name}["'']?[\\s>/][^>]*', 0)"""
+
+
+def _content(tag: str) -> str:
+    return f"""trim(regexp_extract({tag}, '(?is)content="([^"]*)"', 1))"""
+
+
 _GONE = "script|style|noscript|svg|template|iframe"
 PAGES = rf"""
 with recursive raw as (
-  select page_id, regexp_replace(url, '#.*$', '') as url, html from pages),
+  select page_id, regexp_replace(url, '#.*$', '') as url, coalesce(html, '') as html from pages),
 cut as (
   select *, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') as site, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path,
-         regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as t0, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) as h0,
+         regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as t0, regexp_extract_all(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1>', 1) as h0,
+         regexp_replace(html, '(?is)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'g') as seen,
          regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<({_GONE})[^>]*>.*?</({_GONE})>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)^.*?<body[^>]*>', ''), '(?s)<[^>]*>', '', 'g') as b0
   from raw),
 p0 as (
-  select page_id, url, html, site, path, len(list_filter(string_split(path, '/'), lambda s: s <> '')) as depth,
-         nullif(trim({{t0}}), '') as title, list_transform(h0, lambda h: trim(regexp_replace({{h}}, '\s+', ' ', 'g'))) as h1, trim(regexp_replace({{b0}}, '\s+', ' ', 'g')) as text
+  select page_id, url, html, seen, site, path, len(list_filter(string_split(path, '/'), lambda s: s <> '')) as depth,
+         nullif(trim({{t0}}), '') as title, list_transform(h0, lambda h: trim(regexp_replace(regexp_replace({{h}}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) as h1, trim(regexp_replace({{b0}}, '\s+', ' ', 'g')) as text,
+         {_tag('meta', 'description')} as m_description, {_tag('meta', 'keywords')} as m_keywords, {_tag('meta', 'viewport')} as m_viewport,
+         regexp_extract_all(seen, '(?is)<img\s[^>]*>') as imgs, regexp_extract_all(seen, '(?is)<a\s[^>]*href=[^>]*>.*?</a>') as anchors, regexp_extract_all(seen, '(?is)<form\b.*?</form>') as forms,
+         regexp_extract_all(seen, '(?is)<link\s[^>]*rel=.?canonical[^>]*>') as canonicals, regexp_extract_all(html, '(?is)<script[^>]*ld.json[^>]*>(.*?)</script>', 1) as jsonld,
+         list_transform(regexp_extract_all(seen, '(?is)<h([1-6])\b', 1), lambda h: cast(h as integer)) as levels, regexp_extract_all(seen, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>', 1) as headings,
+         array_to_string(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1), ' ') || ' ' || array_to_string(regexp_extract_all(seen, '(?is)\sstyle="([^"]*)"', 1), ' ') as styles
   from cut),
-p as materialized (
+p1 as (
   select *, len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '[\p{{{{L}}}}\p{{{{N}}}}]'))) as words,
          row_number() over (partition by site order by depth, page_id) = 1 as is_home, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) as norm_title,
+         nullif({_content('m_description')}, '') as description, nullif({_content('m_viewport')}, '') as viewport,
+         list_transform(canonicals, lambda c: regexp_extract(c, '(?i)href="?([^" >]*)', 1)) as canon,
+         list_transform(imgs, lambda i: struct_pack(tag := i, src := regexp_extract(i, '(?i)\ssrc="?([^" >]*)', 1), alt := case when regexp_matches(i, '(?i)\salt=') then trim(regexp_extract(i, '(?i)\salt="([^"]*)"', 1)) end)) as images,
+         list_transform(anchors, lambda x: struct_pack(tag := x, href := regexp_extract(x, '(?i)href="?([^" >]*)', 1), label := trim(regexp_replace(regexp_replace(regexp_extract(x, '(?is)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')))) as links,
          len(regexp_extract_all(html, '<a href="/')) as n_links
-  from p0)
+  from p0),
+e as (
+  select distinct site, source, target from (
+    select site, url as source, unnest(links).href as href, regexp_extract(url, '^[^/]+://[^/?#]*', 0) as origin from p1),
+    lateral (select case when starts_with(href, '/') and not starts_with(href, '//') then origin || regexp_replace(href, '#.*$', '') end as target) where target is not null),
+forms_of as (
+  select distinct site, url, unnest([1, 2, 3]) as form, unnest([case when path = '' then url || '/' else url end, regexp_replace(url, '/$', ''), url || '/']) as target from p1),
+inward as (
+  select site, url, min(row(form, others)) as least from (
+    select f.site, f.url, form, count(*) filter (source <> f.url) as others from forms_of f join e using (site, target) group by all) group by site, url),
+grams as (
+  select distinct site, url, array_to_string(w[i : i + 4], ' ') as g from (
+    select site, url, w, unnest(range(1, len(w) - 3)) as i from (
+      select site, url, list_filter(regexp_split_to_array(lower(trim(left(text, 1500)) || ' ' || text), '[^\p{{{{L}}}}0-9]+'), lambda x: x <> '') as w from p1 where words >= 120) where len(w) >= 5)),
+gram_counts as (select site, url, count(*) as n from grams group by site, url),
+alike as (
+  select distinct c.site, a as url from (select x.site, x.url as a, y.url as b, count(*) as k from grams x join grams y on x.site = y.site and x.g = y.g and x.url <> y.url group by all) c
+  join gram_counts n on n.site = c.site and n.url = a join gram_counts m on m.site = c.site and m.url = b where 100 * k > 90 * (n.n + m.n - k)),
+p as materialized (
+  select p1.*, alike.url is not null as near_duplicate, coalesce(struct_extract_at(inward.least, 2), 0) > 0 as has_source, sum(len(imgs)) over (partition by p1.site) as site_images,
+         bool_or(is_home and regexp_matches(styles, '(?i)img[^{{{{]*\{{{{[^}}}}]*max-width\s*:\s*100%')) over (partition by p1.site) as site_fluid,
+         coalesce(list_max(list_transform(regexp_extract_all(styles, '(?i)(?:^|[;{{{{\s"])width\s*:\s*([0-9]{{{{3,5}}}})px', 1), lambda x: cast(x as integer))), 0) as fixed_width
+  from p1 left join alike on alike.site = p1.site and alike.url = p1.url left join inward on inward.site = p1.site and inward.url = p1.url)
 """
 
 
@@ -31,89 +71,138 @@ def _plain(c: str) -> str:
     return c
 
 
-PAGES = PAGES.replace("{t0}", _plain("t0")).replace("{h}", _plain("h")).replace("{b0}", _plain("b0")).replace("{{L}}", "{L}").replace("{{N}}", "{N}")
+PAGES = PAGES.replace("{t0}", _plain("t0")).replace("{h}", _plain("h")).replace("{b0}", _plain("b0")).replace("{{", "{").replace("}}", "}")
 
-_HAS = "regexp_matches(html, '(?i){}')"
-#: cohort and test of each check where they aren't `true` and `false`.
+_HAS = "regexp_matches(seen, '(?i){}')"
+_LEAD = r"list_filter(forms, lambda f: not regexp_matches(f, '(?i)role=.?search|action=[^>]*(search|поиск)') and regexp_matches(f, '(?i)<(input|textarea|select)\b[^>]*(type=.?(tel|email)|(name|placeholder|id)=.?[^\">]*(name|имя|фио|phone|tel|телефон|mail|почт|contact|fio))'))"
+_CONSENT = "(соглас|персональн|обработк[a-z0-9_]* данных|политик[a-z0-9_]* конфиденц|consent|privacy)"
+_TYPE = "len(list_filter(jsonld, lambda j: json_valid(j) and regexp_matches(j, '\"@type\"\\s*:\\s*(\\[[^\\]]*)?\"({})\"'))) > 0"
+_PRICE = r"'(?i)(?:от\s*)?[0-9][0-9\s]{0,9}(?:[.,][0-9]+)?\s?(?:₽|руб\.?|рублей|р\.)'"
+_FOREIGN = r"regexp_matches(html, '(?i)googletagmanager\.com|google-analytics\.com|gtag\(|connect\.facebook\.net|fbq\(|static\.hotjar\.com|clarity\.ms')"
+_LOCAL = r"regexp_matches(html, '(?i)mc\.yandex\.ru|ym\([0-9]+|top-fwz1\.mail\.ru|top\.mail\.ru|vk\.com/js/api/openapi|vk\.com/rtrg')"
+_RASTER = r"list_filter(images, lambda i: i.src <> '' and not regexp_matches(i.src, '(?i)\.svg(\?|$)'))"
+_CONTENT = r"list_filter(images, lambda i: i.src <> '' and not regexp_matches(i.src, '(?i)\.svg(\?|$)') and not starts_with(i.src, 'data:'))"
+_FILE = r"regexp_matches(coalesce(i.alt, ''), '(?i)^[a-z0-9_-]+\.(jpe?g|png|gif|webp|avif|svg)$|^(img|image|dsc|photo|screenshot)[_-]?[0-9]+')"
+_SOME = "len(list_filter({}, lambda {}: {})) > 0"
+_INTERNAL = r"(starts_with(l.href, '/') and not starts_with(l.href, '//') or regexp_replace(lower(regexp_extract(l.href, '(?i)^https?://([^/?#:]*)', 1)), '^www\.', '') = site)"
+#: cohort and test of each check.
 _SQL: dict[str, tuple[str, str]] = {
     "https-enabled": ("true", "not starts_with(url, 'https://')"),
     "charset-utf8": ("true", "not " + _HAS.format('<meta charset="utf-?8"')),
+    "no-mixed-content": ("true", r"starts_with(url, 'https://') and regexp_matches(html, '(?i)<(img|script|iframe|source|video|audio)\b[^>]*\ssrc=[\"'']http://|<link\b[^>]*href=[\"'']http://[^\"'']+\.css')"),
     "title-present": ("true", "title is null"),
     "title-not-default-placeholder": ("true", "coalesce(regexp_matches(lower(title), '^(главная|главная страница|home|homepage|untitled|без названия|новая страница|document|page|index|welcome|my site|мой сайт|test|тест)$'), false)"),
     "h1-present": ("true", "len(h1) = 0"),
     "title-length-range": ("title is not null", "length(title) < 30 or length(title) > 65"),
     "title-no-keyword-stuffing": ("true", r"exists (select 1 from (select unnest(regexp_split_to_array(norm_title, '[^\p{L}0-9]+')) as t) where length(t) >= 4 group by t having count(*) >= 3)"),
-    "description-present": ("true", "not " + _HAS.format('<meta[^>]+name="description"')),
+    "description-present": ("true", "description is null"),
     "h1-single": ("true", "len(h1) > 1"),
     "h1-not-empty": ("true", "len(h1) > 0 and len(list_filter(h1, lambda x: x <> '')) = 0"),
-    "html-lang-attribute": ("true", "not " + _HAS.format('<html lang="[^"]')),
+    "html-lang-attribute": ("true", "not " + _HAS.format('<html[^>]* lang="[^"]')),
     "title-not-duplicate-of-h1": ("true", "len(list_filter(h1, lambda x: lower(x) = norm_title)) > 0"),
-    "description-length-range": (_HAS.format('<meta[^>]+name="description"'), "false"),
+    "description-length-range": ("description is not null", "length(description) not between 70 and 160"),
+    "description-not-generic": ("true", r"coalesce(regexp_matches(description, '(?i)(добро пожаловать|welcome to|just another|описание сайта|описание страницы|lorem ipsum|официальный сайт\.?$)'), false)"),
     "h1-length-range": ("true", "len(list_filter(h1, lambda x: x <> '' and (length(x) < 3 or length(x) > 70))) > 0"),
-    "canonical-present": ("true", "not " + _HAS.format("<link[^>]+canonical")),
-    "url-no-uppercase-or-spaces": ("true", r"regexp_matches(path, '[A-Z]|\s')"),
-    "url-no-cyrillic": ("true", "regexp_matches(path, '[а-яёА-ЯЁ]')"),
-    "ai-jsonld-content-types": ("true", _HAS.format("application/ld.json")),
-    "ai-machine-structure": ("true", _HAS.format("<table|<dl")),
-    "ai-answer-on-top": ("true", "not (regexp_matches(text, '(?i)[0-9][0-9 ]*(₽|руб|р\\.)') or len(regexp_extract_all(left(text, 1500), '[0-9]+')) >= 3)"),
-    "ai-prices-in-text": ("true", "regexp_matches(text, '(?i)[0-9][0-9 ]*(₽|руб|р\\.)')"),
-    "no-placeholder-text": ("true", "regexp_matches(text, '(?i)(lorem ipsum|dolor sit amet|sample text)')"),
-    "h2-present": ("words >= 250", "not " + _HAS.format("<h2")),
+    "meta-keywords-not-overused": ("true", f"len(list_filter(regexp_split_to_array({_content('m_keywords')}, '[,;]'), lambda x: trim(x) <> '')) > 10"),
+    "no-noindex-on-crawled-pages": ("true", "regexp_matches(seen, '(?i)<meta[^>]+name=.?(robots|yandex|googlebot)[^>]*noindex')"),
+    "canonical-not-pointing-elsewhere": ("true", _SOME.format("canon", "c", r"regexp_matches(c, '(?i)^(https?:)?//') and regexp_replace(lower(regexp_extract(c, '//([^/?#:]*)', 1)), '^www\.', '') <> site")),
+    "canonical-single": ("true", "len(canon) > 1"),
+    "canonical-present": ("true", "len(canon) = 0"),
+    "url-no-uppercase-or-spaces": ("true", r"regexp_matches(url_decode(path), '[A-Z]|\s')"),
+    "url-no-cyrillic": ("true", "regexp_matches(url_decode(path), '[а-яёА-ЯЁ]')"),
+    "canonical-absolute-url": ("true", _SOME.format("canon", "c", "not regexp_matches(c, '(?i)^https?://')")),
+    "ai-content-without-js": ("true", r"words < 60 and (regexp_matches(html, '(?i)<div[^>]+id=[\"''](root|app|__next|__nuxt)[\"''][^>]*>\s*</div>') or len(regexp_extract_all(html, '(?i)<script\s[^>]*src=')) >= 3 or list_sum(list_transform(regexp_extract_all(html, '(?is)<script>(.*?)</script>', 1), lambda x: length(x))) > 20000)"),
+    "ai-jsonld-content-types": ("true", _TYPE.format("FAQPage|Product|Service|Offer|AggregateOffer|HowTo|Course|Event|Menu")),
+    "ai-machine-structure": ("true", r"regexp_matches(seen, '(?i)<(table|dl)\b') or regexp_matches(regexp_replace(seen, '(?is)<(nav|header|footer)\b.*?</(nav|header|footer)>', '', 'g'), '(?is)<[uo]l\b[^>]*>\s*(<li\b[^<]*(<[^lu/][^<]*|</[^ulo][^<]*|</li>\s*)*){3}')"),
+    "ai-answer-on-top": ("true", f"not (regexp_matches(left(text, 1500), {_PRICE}) or len(regexp_extract_all(left(text, 1500), '[0-9]+')) >= 3)"),
+    "ai-prices-in-text": ("true", f"regexp_matches(text, {_PRICE})"),
+    "ai-faq-block": ("true", _TYPE.format("FAQPage") + r" or len(regexp_extract_all(seen, '(?i)<summary')) >= 2 or len(list_filter(headings, lambda h: regexp_matches(h, '\?\s*$'))) >= 3 or regexp_matches(array_to_string(headings, ' '), '(?i)(faq|вопрос\S* и ответ|частые вопросы)')"),
+    "no-placeholder-text": ("true", "regexp_matches(text, '(?i)(lorem ipsum|dolor sit amet|здесь будет текст|текст-заглушка|рыба текст|тут будет описание|sample text)')"),
+    "images-have-alt": ("site_images > 0", _SOME.format("images", "i", "i.alt is null")),
+    "h2-present": ("words >= 250", "not list_contains(levels, 2)"),
+    "heading-hierarchy-no-skip": ("true", "len(list_filter(range(2, len(levels) + 1), lambda i: levels[i] - levels[i - 1] > 1)) > 0"),
     "text-length-min": ("true", "words < 200"),
-    "contacts-present-on-site": ("true", r"regexp_matches(html, '(?i)href=.?(tel:|mailto:)') or regexp_matches(text, '(\+7|8)[\s(-]*[0-9]{3}[\s)-]*[0-9]{3}[\s-]*[0-9]{2}[\s-]*[0-9]{2}') or regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+')"),
-    "no-empty-headings": ("true", "len(list_filter(h1, lambda x: x = '')) > 0"),
+    "contacts-present-on-site": ("true", r"regexp_matches(html, '(?i)href=[\"''](tel:|mailto:)') or regexp_matches(text, '(\+7|8)[\s(-]*[0-9]{3}[\s)-]*[0-9]{3}[\s-]*[0-9]{2}[\s-]*[0-9]{2}') or regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+')"),
+    "duplicate-content-across-pages": ("true", "near_duplicate"),
+    "alt-not-just-filename": ("true", _SOME.format("images", "i", _FILE)),
+    "no-empty-headings": ("true", r"len(list_filter(headings, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) = '')) > 0"),
     "text-to-html-ratio": ("true", "length(html) > 0 and length(text) / length(html) < 0.1"),
-    "internal-links-per-page": ("true", "n_links < 3"),
+    "external-links-have-rel": ("true", _SOME.format("links", "l", f"regexp_matches(l.href, '(?i)^(https?:)?//') and not {_INTERNAL} and not regexp_matches(l.tag, '(?i)^<a[^>]* rel=.?[a-z]')")),
+    "internal-links-per-page": ("true", f"len(list_filter(links, lambda l: {_INTERNAL})) < 3"),
+    "image-dimensions-declared": ("true", f"len(list_filter({_CONTENT}, lambda i: (not regexp_matches(i.tag, '(?i) width=.?[^\" >]') or not regexp_matches(i.tag, '(?i) height=.?[^\" >]')) and not contains(lower(i.tag), 'aspect-ratio'))) > 0"),
     "friendly-urls": ("true", r"regexp_matches(regexp_extract(url, '://[^/?#]*(.*)$', 1), '(?i)\.(php|aspx?|jsp|cgi)(\?|$)|[?&](id|page_id|p|cat|option)=')"),
-    "nav-links-are-anchors": (_HAS.format("<nav|<header"), "n_links = 0"),
+    "nav-links-are-anchors": (_HAS.format("<nav|<header|role=.?navigation"), r"not regexp_matches(seen, '(?is)<(nav|header)\b.*?<a\s[^>]*href=.?[^#j].*?</(nav|header)>') and regexp_matches(seen, '(?is)<(nav|header)\b.*?(onclick=|<(span|div)[^>]*role=.?link|href=.?javascript:).*?</(nav|header)>')"),
     "url-depth-max-4": ("true", "depth > 4"),
     "url-length-max-115": ("true", "length(url) > 115"),
-    "breadcrumbs-present": ("depth >= 2", "not " + _HAS.format("breadcrumb")),
-    "no-query-string-duplicates": ("true", "contains(url, '?')"),
-    "homepage-links-count": ("true", "n_links not between 5 and 200"),
-    "jsonld-present": ("true", _HAS.format("application/ld.json")),
-    "jsonld-valid": (_HAS.format("application/ld.json"), "false"),
-    "schema-organization-or-localbusiness": ("true", _HAS.format("application/ld.json")),
+    "breadcrumbs-present": ("depth >= 2", r"not (regexp_matches(seen, '(?i)(class=.?[^\">]*(breadcrumb|crumbs)|aria-label=.?[^\">]*breadcrumb|itemtype=.?[^\">]*BreadcrumbList)') or " + _TYPE.format("BreadcrumbList") + ")"),
+    "no-orphan-crawled-pages": ("not is_home", "not has_source"),
+    "no-query-string-duplicates": ("true", "regexp_matches(url, '\\?.') and not " + _SOME.format("canon", "c", "not contains(c, '?')")),
+    "homepage-links-count": ("true", f"len(list_filter(links, lambda l: {_INTERNAL})) not between 5 and 200"),
+    "anchor-text-not-empty": ("true", _SOME.format("links", "l", "l.label = '' and not regexp_matches(l.tag, '(?i)(^<a[^>]*(aria-label|title)=.?[^\" >]|<img[^>]*alt=.?[^\" >])')")),
+    "jsonld-present": ("true", "len(jsonld) > 0"),
+    "jsonld-valid": ("len(jsonld) > 0", _SOME.format("jsonld", "j", "not json_valid(j)")),
+    "schema-organization-or-localbusiness": ("true", _TYPE.format("Organization|Corporation|[A-Za-z]*Business|Store|Restaurant|Dentist|MedicalClinic|MedicalOrganization|AutoRepair|LegalService|RealEstateAgent|EducationalOrganization|ProfessionalService|FinancialService|Hotel|FoodEstablishment|Physician|Hospital|Pharmacy|SportsActivityLocation")),
     "schema-breadcrumb": ("depth >= 2", "contains(html, 'BreadcrumbList')"),
-    "schema-website": ("true", _HAS.format("application/ld.json")),
-    **{f"og-{x}-present": ("true", f"not contains(html, 'og:{x}')") for x in ("title", "description", "image", "url", "type")},
-    **{f"twitter-{x}-present": ("true", f"not contains(html, 'twitter:{x}')") for x in ("card", "image")},
-    "viewport-meta-present": ("true", "not " + _HAS.format('name="viewport"')),
-    "viewport-width-device-width": (_HAS.format('name="viewport"'), "false"),
-    "responsive-images-srcset": (_HAS.format("<img"), "true"),
-    "apple-touch-icon-present": ("true", "not contains(html, 'apple-touch-icon')"),
-    "theme-color-present": ("true", "not contains(html, 'theme-color')"),
-    "privacy-policy-linked": ("true", _HAS.format("<a [^>]*(privacy|policy|политик|конфиденц|персональн)")),
-    "forms-have-consent": (_HAS.format("<form"), "true"),
-    "consent-not-prechecked": (_HAS.format("<form"), "true"),
-    "a11y-form-labels": (_HAS.format("<form"), "true"),
-    "forms-spam-protection": (_HAS.format("<form"), "true"),
-    "a11y-main-landmark": ("true", "not " + _HAS.format('<main|role="main"')),
+    "schema-website": ("true", _TYPE.format("WebSite")),
+    **{f"og-{x}-present": ("true", f"not regexp_matches(seen, '(?i)<meta[^>]*property=.?og:{x}[^>]*content=.?[^\" >]')") for x in ("title", "description", "image", "url", "type")},
+    **{f"twitter-{x}-present": ("true", f"not regexp_matches(seen, '(?i)<meta[^>]*(name|property)=.?twitter:{x}[^>]*content=.?[^\" >]')") for x in ("card", "image")},
+    "viewport-meta-present": ("true", "viewport is null"),
+    "viewport-allows-zoom": ("true", r"coalesce(regexp_matches(viewport, '(?i)user-scalable\s*=\s*(no|0)|maximum-scale\s*=\s*1(\.0)?\b'), false)"),
+    "viewport-width-device-width": ("viewport is not null", r"not regexp_matches(viewport, '(?i)width\s*=\s*device-width')"),
+    "no-fixed-pixel-width-wrapper": ("true", "fixed_width > 480"),
+    "no-horizontal-overflow-hint": ("true", r"fixed_width > 480 or len(list_filter(images, lambda i: not site_fluid and coalesce(try_cast(regexp_extract(i.tag, '(?i) width=.?([0-9.]+)', 1) as double), 0) > 480)) > 0 or (regexp_matches(seen, '(?i)<table\b') and not regexp_matches(seen, '(?is)(class|style)=.?[^\">]*(overflow|scroll|table-responsive|table-wrap)[^>]*>.*<table\b'))"),
+    "no-flash-or-applet": ("true", _HAS.format(r"<applet|<object[^>]*(type=.?[^\">]*flash|data=.?[^\">]*\.swf)|<embed[^>]*src=.?[^\">]*\.swf")),
+    "responsive-images-srcset": (f"len({_RASTER}) > 0", f"len(list_filter({_RASTER}, lambda i: not contains(lower(i.tag), 'srcset='))) > 0 and not regexp_matches(seen, '(?is)<picture\\b.*?<source[^>]*srcset.*?<img')"),
+    "font-size-not-tiny": ("true", r"len(list_filter(regexp_extract_all(styles, '(?i)font-size\s*:\s*([0-9]+(?:\.[0-9]+)?)px', 1), lambda v: cast(v as double) > 0 and cast(v as double) < 12)) > 0"),
+    "apple-touch-icon-present": ("true", "not " + _HAS.format("<link[^>]*apple-touch-icon")),
+    "theme-color-present": ("true", "not " + _HAS.format("<meta[^>]*name=.?theme-color")),
+    "privacy-policy-linked": ("true", _SOME.format("links", "l", "regexp_matches(l.label || ' ' || l.href, '(?i)политик|конфиденц|персональн|privacy|policy')")),
+    "forms-have-consent": (f"len({_LEAD}) > 0", f"len(list_filter({_LEAD}, lambda f: not regexp_matches(regexp_replace(f, '<[^>]*>', ' ', 'g') || array_to_string(regexp_extract_all(f, '(?i)<input[^>]*checkbox[^>]*>'), ' '), '(?i){_CONSENT}'))) > 0"),
+    "consent-not-prechecked": (_SOME.format("forms", "f", f"regexp_matches(f, '(?i)type=.?checkbox') and regexp_matches(f, '(?i){_CONSENT}')"), _SOME.format("forms", "f", "regexp_matches(f, '(?i)<input[^>]*(type=.?checkbox[^>]* checked| checked[^>]*type=.?checkbox)')")),
+    "a11y-form-labels": ("len(forms) > 0", _SOME.format("forms", "f", r"regexp_matches(regexp_replace(f, '(?is)<label\b.*?</label>|<input[^>]*type=.?(hidden|submit|button|image|reset)[^>]*>|<[a-z]+[^>]*(aria-label|aria-labelledby|title)=.?[^\" >][^>]*>', '', 'g'), '(?i)<(input|textarea|select)\b')")),
+    "forms-spam-protection": (f"len({_LEAD}) > 0", f"len(list_filter({_LEAD}, lambda f: not regexp_matches(f, '(?i)(captcha|turnstile|honeypot|hp-field|name=.(website|hp|honeypot|url_confirm).)'))) > 0"),
+    "a11y-button-names": ("true", r"len(list_filter(regexp_extract_all(seen, '(?is)<button\b.*?</button>'), lambda b: trim(regexp_replace(b, '<[^>]*>', '', 'g')) = '' and not regexp_matches(b, '(?i)(^<button[^>]*(aria-label|title|aria-labelledby)=.?[^\" >]|<img[^>]*alt=.?[^\" >])'))) > 0"),
+    "a11y-main-landmark": ("true", "not " + _HAS.format('<main|role="?main')),
+    "a11y-no-autoplay-sound": ("true", r"len(list_filter(regexp_extract_all(seen, '(?i)<(?:video|audio)\b[^>]*>'), lambda v: regexp_matches(v, '(?i)\sautoplay') and (regexp_matches(v, '(?i)^<audio') or not regexp_matches(v, '(?i)\smuted')))) > 0"),
+}
+#: status of the checks of a whole site, over all its pages.
+_SITE_SQL = {
+    "cookie-notice-with-trackers": f"case when not bool_or({_FOREIGN} or {_LOCAL}) then 'na' when bool_or(regexp_matches(html, '(?i)cookie|куки')) then 'passed' else 'failed' end",
+    "no-foreign-trackers": f"case when bool_or({_FOREIGN}) then 'failed' else 'passed' end",
+    "alt-coverage-ratio": f"case when sum(len({_CONTENT})) = 0 then 'na' when floor(100 * sum(len(list_filter({_CONTENT}, lambda i: coalesce(i.alt, '') <> '' and not {_FILE}))) / sum(len({_CONTENT})) + 0.5) >= 90 then 'passed' else 'failed' end",
+    "trailing-slash-consistency": "case when any_value(slashes.n) is null or any_value(slashes.n) < 5 then 'na' when any_value(slashes.few) / any_value(slashes.n) > 0.2 then 'failed' else 'passed' end",
 }
 
 
 def _row(c) -> str:
-    cohort, test = _SQL.get(c.id, ("true", "false"))
+    if c.kind == "site":
+        return f"select p.site, '{c.id}', 'site', true, 1, 0, {_SITE_SQL[c.id]} from p left join slashes on slashes.site = p.site group by p.site"
+    cohort, test = _SQL[c.id]
     home = " and is_home" if c.kind == "home" else ""
-    return f"select site, '{c.id}' as check_id, '{c.kind}' as kind, {str(c.cohort == 'true').lower()} as always, count(*) filter (({cohort}){home}) as n_total, count(*) filter (({cohort}){home} and ({test})) as n_hit from p group by site"
+    return f"select site, '{c.id}', '{c.kind}', {str(c.cohort == 'true').lower()}, count(*) filter (({cohort}){home}), count(*) filter (({cohort}){home} and ({test})), null from p group by site"
 
 
 def _group(c) -> str:
-    key = "norm_title" if c.id.startswith("title") else "cast(null as varchar)"
-    return f"select site, '{c.id}', 'group', true, cast(sum(n) as bigint), cast(coalesce(sum(n) filter (n > 1 and coalesce(key, '') <> ''), 0) as bigint) from (select site, {key} as key, count(*) as n from p group by all) group by site"
+    key = "norm_title" if c.id.startswith("title") else r"lower(trim(regexp_replace(description, '\s+', ' ', 'g')))"
+    return f"select site, '{c.id}', 'group', true, cast(sum(n) as bigint), cast(coalesce(sum(n) filter (n > 1 and coalesce(key, '') <> ''), 0) as bigint), null from (select site, {key} as key, count(*) as n from p group by all) group by site"
 
 
 RESULTS = (
     PAGES
-    + ", c as (\n"
+    + r""", slashes as (
+  select site, count(*) as n, least(count(*) filter (path like '%/'), count(*) filter (path not like '%/')) as few from (
+    select distinct site, target, regexp_extract(target, '://[^/?#]*([^?#]*)', 1) as path from e) where path not in ('', '/') and not regexp_matches(path, '\\.[A-Za-z0-9_]{2,5}$') group by site),
+c(site, check_id, kind, always, n_total, n_hit, own) as (
+"""
     + "\nunion all ".join(_group(c) if c.kind == "group" else _row(c) for c in PAGE_CHECKS)
     + """),
 r as (
   select site, check_id, n_total,
-         case when kind = 'any' then case when n_total = 0 and not always then 'na' when n_hit > 0 then 'passed' else 'failed' end
+         case when kind = 'site' then own when kind = 'any' then case when n_total = 0 and not always then 'na' when n_hit > 0 then 'passed' else 'failed' end
               when kind = 'group' then case when n_hit > 0 then 'failed' else 'passed' end
               when n_total = 0 then 'na' when n_hit > 0 then 'failed' else 'passed' end as status,
-         cast(case when kind = 'any' then case when n_hit > 0 then 0 else n_total end else n_hit end as bigint) as n_bad
+         cast(case when kind = 'site' then (own = 'failed')::int when kind = 'any' then case when n_hit > 0 then 0 else n_total end else n_hit end as bigint) as n_bad,
+         case when kind in ('any', 'site') and always then 1 else least(n_hit + case when kind = 'any' then n_total else 0 end, 200) end as listed
   from c),
 dim(check_no, check_id, category, category_weight, severity, severity_weight) as (values """
     + ", ".join(f"({i}, '{c.id}', '{c.category}', {CATEGORIES[c.category]}::double, '{c.severity}', {SEVERITIES[c.severity]})" for i, c in enumerate(PAGE_CHECKS))
@@ -127,7 +216,33 @@ g as (
 )
 SITE_CHECKS = RESULTS + "select site, check_id, status, n_bad, n_total from r"
 CATEGORY_SCORES = RESULTS + "select site, category, category_weight, score, passed, failed, na from g"
-SITE_SCORES = RESULTS + "select site, cast(floor(sum(score * category_weight) / sum(category_weight) + 0.5) as integer) as score from g group by site"
+SITE_SCORES = RESULTS + "select site, coalesce(cast(floor(sum(score * category_weight) / sum(category_weight) + 0.5) as integer), 0) as score from (select distinct site from p) left join g using (site) group by site"
 ACTION_PLAN = RESULTS + """select site, cast(step as integer) as step, check_id, category, severity, n_bad from (
-  select *, row_number() over (partition by site order by severity_weight desc, category_weight desc, n_bad desc, check_no) as step from r join dim using (check_id) where status = 'failed') where step <= 12"""
+  select *, row_number() over (partition by site order by severity_weight desc, category_weight desc, listed desc, check_no) as step from r join dim using (check_id) where status = 'failed') where step <= 12"""
 PAGE_FACTS = PAGES + "select page_id, site, url, title, cast(words as integer) as words, cast(depth as integer) as depth, is_home, cast(n_links as integer) as n_links from p"
+SITE_STATS = RESULTS + """select site, count(*) filter (status <> 'na') as applicable, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed,
+  count(*) filter (status = 'failed' and severity = 'critical') as critical, count(*) filter (status = 'failed' and severity = 'important') as important, count(*) filter (status = 'failed' and severity = 'advice') as advice,
+  count(*) as check_count from r join dim using (check_id) group by site"""
+WEAKEST = RESULTS + """select site, cast(rank as integer) as rank, category, score from (
+  select g.*, row_number() over (partition by site order by score, place) as rank from g join (select category, min(check_no) as place from dim group by category) using (category)) where rank <= 3"""
+LINK_EDGES = PAGES + "select site, source, target from e"
+NEAR_DUPLICATES = PAGES + "select site, url from alike"
+
+
+def _bad(c) -> str:
+    if c.kind == "site":
+        return f"select site, '{c.id}' as check_id, page_id, url from p where is_home and site in (select site from r where check_id = '{c.id}' and status = 'failed')"
+    if c.kind == "group":
+        key = "norm_title" if c.id.startswith("title") else r"lower(trim(regexp_replace(description, '\s+', ' ', 'g')))"
+        return f"select site, '{c.id}', page_id, url from (select *, count(*) over (partition by site, {key}) as same from p where coalesce({key}, '') <> '') where same > 1"
+    cohort, test = _SQL[c.id]
+    if c.kind == "any":
+        who = "is_home" if c.cohort == "true" else f"({cohort})"
+        return f"select site, '{c.id}', page_id, url from p where {who} and site in (select site from r where check_id = '{c.id}' and status = 'failed')"
+    return f"select site, '{c.id}', page_id, url from p where ({cohort}) and ({test})" + (" and is_home" if c.kind == "home" else "")
+
+
+_AFFECTED = RESULTS.rstrip() + ", bad as (\n" + "\nunion all ".join(map(_bad, sorted(PAGE_CHECKS, key=lambda c: c.kind != "site"))) + ")\n"
+AFFECTED_PAGES = _AFFECTED + "select site, check_id, page_id, url from bad"
+PAGE_SUMMARY = _AFFECTED + """select p.site, p.page_id, p.url, count(distinct check_id) as issues, count(distinct check_id) filter (severity = 'critical') as critical
+from p left join (select bad.*, severity from bad join dim using (check_id)) b on b.page_id = p.page_id group by p.site, p.page_id, p.url"""

@@ -1,8 +1,9 @@
 """HTML pages to one typed row each: the silver table that every page check reads.
 
 Parsing is the one step that Spark's functions can't express; it runs once, in Arrow batches, and all checks share it.
-Text keeps no mark where a tag stood (`<li>a</li><li>b</li>` reads `ab`), as a DOM's text does. A page that can't be parsed,
-null or empty, gives empty fields. noscript content is parsed as elements.
+Text keeps no mark where a tag stood (`<li>a</li><li>b</li>` reads `ab`), as a DOM's text does. Null and empty pages give
+empty fields; of a page that the parser gives up on, what came before is kept and parse_failed is true. noscript content is
+parsed as elements. Marked sections (`<![...]>`) are comments.
 """
 
 from __future__ import annotations
@@ -36,12 +37,12 @@ SILVER = _struct(
     title=_S, description=_S, keywords_meta=_S, viewport=_S, meta_robots=_S, meta_charset=_S, lang=_S, canonicals=T.ArrayType(_S),
     h1=T.ArrayType(_S), headings=T.ArrayType(_struct(level=_I, text=_S)), og=T.MapType(_S, _S), twitter=T.MapType(_S, _S),
     jsonld=T.ArrayType(_struct(error=_S, types=T.ArrayType(_S))),
-    links=T.ArrayType(_struct(href=_S, abs=_S, text=_S, rel=_S, internal=_B, aria_label=_S, has_img_alt=_B, in_nav=_B)),
+    links=T.ArrayType(_struct(href=_S, abs=_S, text=_S, rel=_S, internal=_B, aria_label=_S, has_img_alt=_B, in_nav=_B, target=_S)),
     images=T.ArrayType(_struct(src=_S, abs=_S, alt=_S, width=_S, height=_S, srcset=_S, in_picture=_B, has_aspect_ratio=_B)),
     forms=T.ArrayType(_struct(is_search=_B, personal_fields=_I, unlabeled_fields=_I, consent_checkbox=_B, consent_prechecked=_B, consent_text=_B, spam_protected=_B)),
     text=_S, top_text=_S, words=_I, styles=_S, scripts=T.ArrayType(_S), inline_chars=_I, has_main=_B, has_breadcrumbs=_B, has_icon=_B, nav_present=_B,
     nav_anchors=_I, nav_fake=_I, lists_3plus=_I, n_tables=_I, n_dl=_I, n_details=_I, n_flash=_I, has_apple_icon=_B, has_theme_color=_B, bare_table=_B,
-    unnamed_buttons=_I, autoplay_sound=_B, has_referrer=_B,
+    unnamed_buttons=_I, autoplay_sound=_B, has_referrer=_B, canonical_abs=T.ArrayType(_S), max_fixed_width=_I, tiny_font=_B, fluid_images=_B, parse_failed=_B,
 )
 
 
@@ -105,6 +106,9 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.kids.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
 
 def collapse(s: str) -> str:
     return WS.sub(" ", s).strip()
@@ -150,39 +154,81 @@ def _jsonld(raw: str) -> dict:
         return {"error": str(e), "types": []}
 
 
-# Words by which a form's fields, consent and spam protection are known.
-_PERSONAL = re.compile(r"name|phone|tel|mail|fio|имя|фамил|телефон|почт", re.I)
-_CONSENT = re.compile(r"соглас|персональн|политик|consent|agree|privacy", re.I)
-_GUARD = re.compile(r"captcha|honeypot|turnstile", re.I)
+# Words by which a form's fields, consent and spam protection are known, and patterns over styles.
+_CONSENT = re.compile(r"(соглас|персональн|обработк[A-Za-z0-9_]* данных|политик[A-Za-z0-9_]* конфиденц|consent|privacy)", re.I)
+_PERSONAL = re.compile(r"(name|имя|фио|phone|tel|телефон|mail|почт|contact|fio)", re.I)
+_CAPTCHA = re.compile(r"(smartcaptcha|captcha|recaptcha|hcaptcha|turnstile|honeypot|hp-field|cf-turnstile)", re.I)
+_HONEYPOT_NAMES = ("website", "hp", "honeypot", "url_confirm")
+_SEARCH_ACTION, _SEARCH_NAME = re.compile("search|поиск", re.I), re.compile("^(q|s|search|query|text)$", re.I)
 _FLOW = re.compile(r"overflow|scroll|table-responsive|table-wrap", re.I)
+_DESKTOP_MEDIA = re.compile(r"@media[^{]*min-width[^{]*\{", re.I)
+_FIXED_WIDTH = re.compile(r"(?:^|[;{\s])width\s*:\s*([0-9]{3,5})px", re.I)
+_TINY_FONT = re.compile(r"font-size\s*:\s*([0-9]+(?:\.[0-9]+)?)px", re.I)
+_FLUID_IMAGES = re.compile(r"img[^{]*\{[^}]*max-width\s*:\s*100%", re.I)
+
+
+def mobile_css(css: str) -> str:
+    """css without its blocks for wide screens only, however deep they nest."""
+    out, at = [], 0
+    while m := _DESKTOP_MEDIA.search(css, at):
+        out.append(css[at : m.start()])
+        depth, at = 1, m.end()
+        while depth and at < len(css):
+            brace = min((x for x in (css.find("{", at), css.find("}", at)) if x >= 0), default=len(css))
+            if brace == len(css):
+                at = brace
+                break
+            depth += 1 if css[brace] == "{" else -1
+            at = brace + 1
+    return "".join([*out, css[at:]])
+
+
+def css_facts(css: str | None) -> dict:
+    """The widest fixed width outside of blocks for wide screens, a font of 0 to 12 pixels, and images that shrink."""
+    css = css or ""
+    return {
+        "max_fixed_width": max((int(m) for m in _FIXED_WIDTH.findall(mobile_css(css))), default=0),
+        "tiny_font": any(0 < float(m) < 12 for m in _TINY_FONT.findall(css)),
+        "fluid_images": bool(_FLUID_IMAGES.search(css)),
+    }
 
 
-def _labelled(field: Node, labels: set[str]) -> bool:
+def _labelled(field: Node, labels: dict[str, str]) -> bool:
     a = field.attrs
-    return bool(a.get("aria-label") or a.get("aria-labelledby") or a.get("title") or a.get("id") in labels or any(x.tag == "label" for x in field.above()))
+    return bool(a.get("aria-label", "").strip() or a.get("aria-labelledby") or a.get("title", "").strip() or any(x.tag == "label" for x in field.above()) or a.get("id") and a["id"] in labels)
 
 
-def _form(form: Node, labels: set[str]) -> dict:
+def _form(form: Node, labels: dict[str, str]) -> dict:
     inside = list(form.walk())
-    fields = [x for x in inside if x.tag in ("select", "textarea") or x.tag == "input" and x.attrs.get("type", "text").lower() not in ("hidden", "submit", "button", "image", "reset")]
-    boxes = [x for x in fields if x.attrs.get("type", "").lower() == "checkbox"]
-    typed = [x for x in fields if x not in boxes and x.attrs.get("type", "").lower() != "radio"]
-    named = lambda x: " ".join(x.attrs.get(k, "") for k in ("name", "id", "placeholder", "type", "autocomplete"))
-    around = lambda x: " ".join([named(x), *(y.text() for y in x.above() if y.tag == "label")])
-    consent = [x for x in boxes if _CONSENT.search(around(x) + " " + collapse(form.text()))]
-    search = form.attrs.get("role") == "search" or any(x.attrs.get("type", "").lower() == "search" or x.attrs.get("name", "").lower() in ("q", "s", "query", "search") for x in fields)
-    marks = " ".join(" ".join([x.tag, *x.attrs.values()]) for x in [form, *inside])
+    kind = lambda x: x.attrs.get("type", "").lower()
+    fields = [x for x in inside if x.tag in ("select", "textarea", "input") and (kind(x) or "text") not in ("hidden", "submit", "button", "image", "reset")]
+    typed = [x for x in fields if kind(x) not in ("checkbox", "radio")]
+    boxes = [x for x in inside if x.tag == "input" and kind(x) == "checkbox"]
+    about = lambda x: " ".join(x.attrs.get(k, "") for k in ("name", "placeholder", "id"))
+
+    def around(x: Node) -> str:
+        label = next((y.text() for y in x.above() if y.tag == "label"), "")
+        return " ".join([label, labels.get(x.attrs.get("id") or "", ""), x.up.text(), x.attrs.get("name", "")])
+
+    consent = [x for x in boxes if _CONSENT.search(around(x))]
+    a_search = any(_SEARCH_NAME.search(x.attrs.get("name", "")) or x.attrs.get("type") == "search" for x in typed)
+    marks = " ".join(" ".join([x.tag, *x.attrs, *x.attrs.values(), *(k for k in x.kids if isinstance(k, str))]) for x in [form, *inside])
     return {
-        "is_search": search, "personal_fields": sum(bool(_PERSONAL.search(named(x))) for x in typed), "unlabeled_fields": sum(not _labelled(x, labels) for x in fields),
-        "consent_checkbox": bool(consent), "consent_prechecked": any("checked" in x.attrs for x in consent), "consent_text": bool(_CONSENT.search(form.text())), "spam_protected": bool(_GUARD.search(marks)),
+        "is_search": form.attrs.get("role") == "search" or bool(_SEARCH_ACTION.search(form.attrs.get("action", ""))) or len(typed) <= 1 and a_search,
+        "personal_fields": sum(kind(x) in ("tel", "email") or bool(_PERSONAL.search(about(x))) for x in typed), "unlabeled_fields": sum(not _labelled(x, labels) for x in fields),
+        "consent_checkbox": bool(consent), "consent_prechecked": any("checked" in x.attrs for x in consent), "consent_text": bool(_CONSENT.search(collapse(form.text()))),
+        "spam_protected": bool(_CAPTCHA.search(marks)) or any(x.attrs.get("name", "").lower() in _HONEYPOT_NAMES for x in inside),
     }
 
 
 def parse(page: str | None, url: str | None) -> dict:
     page, url = page or "", url or ""
-    tree = _Tree()
-    tree.feed(page)
-    tree.close()
+    tree, failed = _Tree(), False
+    try:
+        tree.feed(page)
+        tree.close()
+    except (AssertionError, ValueError, IndexError):  # what html.parser raises over markup that it can't read
+        failed = True
     every = list(tree.root.walk())
     by: dict[str, list[Node]] = {}
     for x in every:
@@ -197,13 +243,15 @@ def parse(page: str | None, url: str | None) -> dict:
     text = collapse(body.text(unseen))
     has_main = bool(by.get("main")) or any(x.attrs.get("role") == "main" for x in every)
     content = by.get("main", [body])[0]
-    labels = {x.attrs.get("for", "") for x in of("label")} - {""}
+    labels: dict[str, str] = {}
+    for x in of("label"):
+        if x.attrs.get("for"):
+            labels[x.attrs["for"]] = labels.get(x.attrs["for"], "") + x.text()
     titles = [t for t in of("title") if any(a.tag == "head" for a in t.above())] or of("title")
     jsonld = [_jsonld(s.text().strip()) for s in of("script") if s.attrs.get("type", "").lower() == "application/ld+json"]
-    names = lambda x: f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}".lower()
     headings = [x for x in every if re.fullmatch("h[1-6]", x.tag)]
     navs = [x for x in every if x.tag in ("nav", "header") or x.attrs.get("role") == "navigation"]
-    in_nav = [x for n in navs for x in n.walk()]
+    in_nav = list({id(x): x for n in navs for x in n.walk()}.values())
     rels = [(x, x.attrs.get("rel", "").lower().split()) for x in of("link")]
     links = []
     for a in of("a"):
@@ -212,41 +260,43 @@ def parse(page: str | None, url: str | None) -> dict:
             full = absolute(href, url)
             links.append({
                 "href": href, "abs": full, "text": collapse(a.text()), "rel": a.attrs.get("rel", "").lower(), "internal": full is not None and site_of(full) == site,
-                "aria_label": a.attrs.get("aria-label") or a.attrs.get("title") or "", "has_img_alt": any(x.tag == "img" and x.attrs.get("alt", "").strip() for x in a.walk()),
-                "in_nav": any(x.tag in ("nav", "header", "footer") for x in a.above()),
+                "aria_label": (a.attrs.get("aria-label") or a.attrs.get("title") or "").strip(), "has_img_alt": any(x.tag == "img" and x.attrs.get("alt", "").strip() for x in a.walk()),
+                "in_nav": any(x.tag in ("nav", "header") or x.attrs.get("role") == "navigation" for x in a.above()), "target": a.attrs.get("target", "").lower(),
             })
     images = []
     for i in of("img"):
         src = (i.attrs.get("src") or i.attrs.get("data-src") or "").strip()
         images.append({
             "src": src, "abs": None if src.startswith("data:") or not src else absolute(src, url), "alt": i.attrs.get("alt"), "width": i.attrs.get("width"), "height": i.attrs.get("height"),
-            "srcset": i.attrs.get("srcset") or i.attrs.get("data-srcset"), "in_picture": any(x.tag == "picture" for x in i.above()), "has_aspect_ratio": "aspect-ratio" in i.attrs.get("style", ""),
+            "srcset": i.attrs.get("srcset") or i.attrs.get("data-srcset"), "in_picture": i.up.tag == "picture" and any(x.tag == "source" and "srcset" in x.attrs for x in i.up.walk()), "has_aspect_ratio": "aspect-ratio" in i.attrs.get("style", "").lower(),
         })
     charset = next((m.attrs["charset"] for m in of("meta") if "charset" in m.attrs), None)
     if charset is None:
         typed = next((m.attrs.get("content", "") for m in of("meta") if m.attrs.get("http-equiv", "").lower() == "content-type"), "")
         found = re.search(r"charset\s*=\s*[\"']?([\w-]+)", typed, re.I | re.A)
         charset = found[1] if found else None
+    canonicals = [x.attrs.get("href", "").strip() for x, _ in rels if x.attrs.get("rel", "").lower() == "canonical"]
+    styles = "\n".join([x.text() for x in of("style")] + [f"x{{{x.attrs['style']}}}" for x in every if "style" in x.attrs])
     html_lang = next((x.attrs.get("lang", "").strip() for x in of("html")), "")
     no_name = lambda b: not (collapse(b.text()) or any(b.attrs.get(k) for k in ("aria-label", "title", "aria-labelledby")) or any(x.tag == "img" and x.attrs.get("alt", "").strip() for x in b.walk()))
     lists = [x for x in content.walk() if x.tag in ("ul", "ol") and sum(not isinstance(k, str) and k.tag == "li" for k in x.kids) >= 3 and not any(a.tag in ("nav", "header", "footer") for a in x.above())]
     inner = list(content.walk())
     return {
         "title": (titles[0].text().strip() or None) if titles else None, "description": meta.get("description"), "keywords_meta": meta.get("keywords"), "viewport": meta.get("viewport"),
-        "meta_robots": ",".join(v for k in ("robots", "yandex", "googlebot") if (v := meta.get(k))).lower(), "meta_charset": charset, "lang": html_lang or None,
-        "canonicals": [x.attrs.get("href", "").strip() for x, r in rels if r == ["canonical"]], "h1": [collapse(x.text()) for x in of("h1")],
+        "meta_robots": ",".join(v for k in ("robots", "yandex", "googlebot") if (v := meta.get(k))).lower(), "meta_charset": None if charset is None else charset.lower(), "lang": html_lang or None,
+        "canonicals": canonicals, "canonical_abs": [absolute(c, url) for c in canonicals], "h1": [collapse(x.text()) for x in of("h1")],
         "headings": [{"level": int(x.tag[1]), "text": collapse(x.text())} for x in headings],
         "og": [(m.attrs["property"].lower(), m.attrs.get("content", "").strip()) for m in {m.attrs["property"].lower(): m for m in of("meta") if m.attrs.get("property", "").startswith("og:")}.values()],
         "twitter": list({k.lower(): m.attrs.get("content", "").strip() for m in of("meta") for k in (m.attrs.get("name", ""), m.attrs.get("property", "")) if k.startswith("twitter:")}.items()),
         "jsonld": jsonld, "links": links, "images": images, "forms": [_form(f, labels) for f in of("form")], "text": text,
         "top_text": collapse(content.text(unseen | {"header", "nav", "footer"}))[:1500], "words": sum(bool(re.search(r"[^\W_]", w)) for w in text.split(" ")),
-        "styles": "\n".join([x.text() for x in of("style")] + [f"x{{{x.attrs['style']}}}" for x in every if x.attrs.get("style")]),
+        "styles": styles, **css_facts(styles), "parse_failed": failed,
         "scripts": [s for x in of("script") if x.attrs.get("src") and (s := absolute(x.attrs["src"], url))], "inline_chars": sum(len(x.text()) for x in of("script") if "src" not in x.attrs),
-        "has_main": has_main, "has_breadcrumbs": any("breadcrumb" in names(x) or "breadcrumb" in x.attrs.get("aria-label", "").lower() for x in every) or any("BreadcrumbList" in b["types"] for b in jsonld),
+        "has_main": has_main, "has_breadcrumbs": any("breadcrumb" in f"{x.attrs.get('class', '')} {x.attrs.get('aria-label', '')}".lower() or "crumbs" in x.attrs.get("class", "").lower() or "BreadcrumbList" in x.attrs.get("itemtype", "") for x in every) or any("BreadcrumbList" in b["types"] for b in jsonld),
         "has_icon": any("icon" in r for _, r in rels), "nav_present": bool(navs), "nav_anchors": sum(x.tag == "a" and "href" in x.attrs and not re.match("#|javascript:", x.attrs["href"], re.I) for x in in_nav),
-        "nav_fake": sum("onclick" in x.attrs or x.tag == "a" and x.attrs.get("href", "").lower().startswith("javascript:") for x in in_nav), "lists_3plus": len(lists),
+        "nav_fake": sum("onclick" in x.attrs or x.tag == "a" and x.attrs.get("href", "").startswith("javascript:") or x.tag in ("span", "div") and x.attrs.get("role") == "link" for x in in_nav), "lists_3plus": len(lists),
         "n_tables": sum(x.tag == "table" for x in inner), "n_dl": sum(x.tag == "dl" for x in inner), "n_details": sum(x.tag == "summary" and any(a.tag == "details" for a in x.above()) for x in every),
-        "n_flash": sum(x.tag == "applet" or x.tag == "object" and "flash" in " ".join(x.attrs.values()).lower() or x.tag == "embed" and ".swf" in x.attrs.get("src", "").lower() for x in every),
+        "n_flash": sum(x.tag == "applet" or x.tag == "object" and ("flash" in x.attrs.get("type", "") or x.attrs.get("data", "").endswith(".swf")) or x.tag == "embed" and x.attrs.get("src", "").endswith(".swf") for x in every),
         "has_apple_icon": any("apple-touch-icon" in x.attrs.get("rel", "").lower() for x, _ in rels), "has_theme_color": "theme-color" in meta,
         "bare_table": any(not any(_FLOW.search(f"{a.attrs.get('class', '')} {a.attrs.get('style', '')}") for a in t.above()) for t in of("table")), "unnamed_buttons": sum(map(no_name, of("button"))),
         "autoplay_sound": any("autoplay" in x.attrs and (x.tag == "audio" or "muted" not in x.attrs) for x in of("video", "audio")), "has_referrer": "referrer" in meta,
@@ -254,24 +304,31 @@ def parse(page: str | None, url: str | None) -> dict:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) to page_id, site, url, html, depth, is_home and the silver columns. The home page is the one of the least (depth, page_id) of its site."""
+    """(page_id, url, html and more) to page_id, site, url, html, path, depth, is_home, the silver columns, and what else pages have
+    (status, headers, bytes, ttfb_ms, say). The home page is the one of the least (depth, page_id) of its site, told from the urls alone."""
     kind = to_arrow_schema(SILVER)
+    base = with_home(located(pages))
+    columns = ["url", "html", *[c for c in base.columns if c not in ("url", "html", *SILVER.names)]]
+    base = base.select(*columns)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse(h.as_py(), u.as_py()) for u, h in zip(batch.column(1), batch.column(2), strict=True)]
+            found = [parse(h.as_py(), u.as_py()) for u, h in zip(batch.column(0), batch.column(1), strict=True)]
             fields = pa.RecordBatch.from_pylist(found, kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, *fields.columns], [*batch.schema.names, *kind.names])
 
-    base = pages.select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"), "html")
-    parsed = base.mapInArrow(rows, T.StructType([*base.schema.fields, *SILVER.fields]))
+    return base.mapInArrow(rows, T.StructType([*base.schema.fields, *SILVER.fields]))
+
+
+def located(pages: DataFrame) -> DataFrame:
+    """pages with url without its fragment, site, path and depth."""
+    url = F.regexp_replace("url", "#.*$", "")
     site = F.regexp_replace(F.lower(F.regexp_extract("url", r"://([^/?#:]*)", 1)), r"^www\.", "")
     path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
-    silver = parsed.withColumns({"site": site, "path": path, "depth": F.size(F.filter(F.split(path, "/"), lambda s: s != ""))})
-    return with_home(silver)
+    return pages.withColumn("url", url).withColumns({"site": F.coalesce(site, F.lit("")), "path": path, "depth": F.size(F.filter(F.split(path, "/"), lambda s: s != ""))})
 
 
-def with_home(silver: DataFrame) -> DataFrame:
+def with_home(pages: DataFrame) -> DataFrame:
     """Adds is_home: a grouped minimum and a join on the site, whose hot sites Spark splits."""
-    homes = silver.groupBy("site").agg(F.min(F.struct("depth", "page_id")).alias("home")).select(F.col("site").alias("__site"), F.col("home.page_id").alias("__home"))
-    return silver.join(homes, silver["site"].eqNullSafe(F.col("__site"))).withColumn("is_home", F.col("page_id").eqNullSafe(F.col("__home"))).drop("__site", "__home")
+    homes = pages.groupBy("site").agg(F.min(F.struct("depth", "page_id")).alias("home")).select(F.col("site").alias("__site"), F.col("home.page_id").alias("__home"))
+    return pages.join(homes, pages["site"] == F.col("__site")).withColumn("is_home", F.col("page_id").eqNullSafe(F.col("__home"))).drop("__site", "__home")

@@ -1,6 +1,7 @@
 """A sliding-window rate limiter: a hit passes if fewer than `limit` passed hits of its key are younger than the window. Rejected
 hits aren't recorded, so this is no window count. Keys are sorted within partitions and streamed; a task holds at most `limit`
-times of one key. The streaming form keeps the same times as state.
+times of one key, and reads all hits of a key, as each depends on those before it. stream_limited is the same over a stream: at most
+`limit` times are kept as the state of a key.
 """
 
 from __future__ import annotations
@@ -40,6 +41,31 @@ def rate_limited(hits: DataFrame, key: str, at: str, order: str, limit: int = 10
     return dealt.repartition("__key").sortWithinPartitions("__key", "__at", order).mapInArrow(_limited(limit, window_s * 1_000_000), schema)
 
 
+def stream_limited(hits: DataFrame, key: str, at: str, order: str, limit: int = 10, window_s: int = 3600) -> DataFrame:
+    """key, at, order, passed of a stream. Within a micro-batch hits are taken in the order of (at, order); a later batch's count from there on."""
+    import pandas as pd
+
+    window_us = window_s * 1_000_000
+    of = {k: hits.schema[k].dataType for k in (key, at, order)}
+    out = T.StructType([*(T.StructField(k, t) for k, t in of.items()), T.StructField("passed", T.BooleanType())])
+
+    def run(_key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        passed = deque(state.get[0] if state.exists else [])
+        rows = pd.concat(list(batches)).sort_values([at, order], ignore_index=True)
+        ok = []
+        for t in rows[at]:
+            now = None if pd.isna(t) else t.value // 1000
+            while passed and now is not None and now - passed[0] >= window_us:
+                passed.popleft()
+            ok.append(now is not None and len(passed) < limit)
+            if ok[-1]:
+                passed.append(now)
+        state.update((list(passed),))
+        yield rows[[key, at, order]].assign(passed=ok)
+
+    return hits.select(key, at, order).groupBy(key).applyInPandasWithState(run, out, "times array<long>", "append", "NoTimeout")
+
+
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
     return rate_limited(events, "user_id", "ts", "event_id").select("event_id", "user_id", "passed")

@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 def test_registry():
     assert len({c.id for c in PAGE_CHECKS}) == len(PAGE_CHECKS)
-    assert {c.kind for c in PAGE_CHECKS} == {"page", "home", "any", "group"}
+    assert {c.kind for c in PAGE_CHECKS} == {"page", "home", "any", "group", "site"}
 
 
 def test_parser_facts():
