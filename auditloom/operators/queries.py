@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions import urls
 from auditloom.operators import keywords
-from auditloom.plans import checks, crawl, oracle_sql
+from auditloom.plans import checks, crawl, oracle_sql, redirects
 from auditloom.sources.html import parse_pages
 from auditloom.streaming import ratelimit
 from auditloom.tables import table, written
@@ -58,6 +59,17 @@ def near_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.near_duplicates(silver(spark, sf_dir))
 
 
+def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.short_url(url).alias("short"), urls.shortened(url).alias("shortened"), urls.is_file(url).alias("is_file"), urls.normalize_input_url(url)["url"].alias("root"))
+
+
+def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and other addresses that links reach from each home page."""
+    pages = silver(spark, sf_dir)
+    return redirects.reachable(written(crawl.edges(pages)), pages.where("is_home"))
+
+
 def site_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.keywords(silver(spark, sf_dir))
 
@@ -66,7 +78,7 @@ def affected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.affected_pages(silver(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, site_keywords, ratelimit.rate_limiter)}
+QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter)}
 
 SQL = {
     "site_checks": oracle_sql.SITE_CHECKS,
@@ -80,4 +92,6 @@ SQL = {
     "near_duplicate_pages": oracle_sql.NEAR_DUPLICATES,
     "affected_pages": oracle_sql.AFFECTED_PAGES,
     "page_summary": oracle_sql.PAGE_SUMMARY,
+    "url_functions": oracle_sql.URL_FUNCTIONS,
+    "reachable_pages": oracle_sql.REACHABLE,
 }

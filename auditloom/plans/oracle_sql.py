@@ -246,3 +246,17 @@ _AFFECTED = RESULTS.rstrip() + ", bad as (\n" + "\nunion all ".join(map(_bad, so
 AFFECTED_PAGES = _AFFECTED + "select site, check_id, page_id, url from bad"
 PAGE_SUMMARY = _AFFECTED + """select p.site, p.page_id, p.url, count(distinct check_id) as issues, count(distinct check_id) filter (severity = 'critical') as critical
 from p left join (select bad.*, severity from bad join dim using (check_id)) b on b.page_id = p.page_id group by p.site, p.page_id, p.url"""
+URL_FUNCTIONS = r"""
+with u as (
+  select page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) as host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '(\?[^#]+)', 1) as query, lower(regexp_extract(url, '^([^:]+):', 1)) as scheme from pages),
+v as (select *, case when path = '' then '/' else path end as p from u)
+select page_id, host || p || query as short,
+       host || case when length(url_decode(p || query)) > 60 then left(url_decode(p || query), 24) || '…' || right(url_decode(p || query), 30) else url_decode(p || query) end as shortened,
+       regexp_matches(path, '(?i)\.(pdf|jpe?g|png|gif|webp|avif|svg|ico|zip|rar|7z|docx?|xlsx?|pptx?|mp4|mp3|avi|mov|webm|css|js|json|xml|txt|woff2?|ttf|eot|exe|dmg|apk)$') as is_file,
+       scheme || '://' || host || '/' as root from v
+"""
+REACHABLE = PAGES + """, walk(site, url, depth) as (
+  select site, url, 0 from p where is_home
+  union
+  select w.site, e.target, w.depth + 1 from walk w join e on e.site = w.site and e.source = w.url where w.depth < 12)
+select site, url, min(depth) as depth from walk group by site, url"""

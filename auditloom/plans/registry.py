@@ -64,7 +64,7 @@ _HOST = "regexp_replace(lower(regexp_extract({}, r'://([^/?#:]*)', 1)), r'^www\\
 _TRIM = r"regexp_replace({}, r'^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$', '')"
 _FOREIGN, _TRACKED = ("(" + " or ".join(f"html rlike {q(p)}" for k in kinds for p in TRACKERS[k].values()) + ")" for kinds in (("foreign",), ("foreign", "local")))
 _HEADER = "coalesce(try_element_at(headers, '{}'), '')"
-_CHARSET = "lower(regexp_extract(" + _HEADER.format("content-type") + r", r'(?i)charset=\x22?([A-Za-z0-9_-]+)', 1))"
+_CHARSET = "lower(regexp_extract(" + _HEADER.format("content-type") + r", r'(?i)charset\s*=\s*[\x22\x27]?([A-Za-z0-9_-]+)', 1))"
 _UTF8 = "coalesce({} rlike '^utf-?8$', false)"
 _ALT = _TRIM.format("coalesce(i.alt, '')")
 _GOOD_ALT = f"({_ALT} != '' and not {_ALT} rlike {q(FILE_NAME)})"
