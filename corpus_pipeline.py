@@ -7,6 +7,8 @@ texts set n_chars, if the table has it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +16,41 @@ from auditloom.llm import byte_bpe, decontaminate, language_id, line_dedup, ngra
 from auditloom.llm.common import table, written
 
 
+#: Columns that the operators add on their way; a table's own columns of these names are set aside meanwhile.
+_ADDED = ("lang_pred", "score", "rejected", "n_lines", "n_removed", "n_words", "n_hit", "items", "clean_text")
+
+
+def _set_aside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    own = {c: f"__own_{c}" for c in docs.columns if c in _ADDED}
+    return stage(docs.withColumnsRenamed(own)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def _counted(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else df
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.corpus_model(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    """Documents whose language the model doesn't reject: null texts and texts without a letter go. Rows and columns stay as they are."""
+    return _set_aside(docs, lambda d: language_id.identify(d, language_id.corpus_model(d)).where(~F.col("rejected")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup.without_repeated_lines(written(line_dedup.without_repeated_passages(docs))))
+    """Texts without passages and chunks of lines that stand earlier; documents that lose every line go. Null texts and rows with a null doc_id lose nothing."""
+    return _counted(_set_aside(docs, lambda d: line_dedup.without_repeated_lines(written(line_dedup.without_repeated_passages(d)))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id. Empty and null texts link with nothing; of rows that share an id one stays; rows with a null id stay."""
     return ngram_join.near_duplicates_removed(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    """Texts without benchmark passages; documents that are mostly such passages go. Null and empty texts stay."""
+    return _counted(_set_aside(docs, lambda d: decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the ids of its text and their digests. Null and empty texts have no ids."""
     import public_tokenizers
 
     args = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
