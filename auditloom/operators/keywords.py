@@ -1,6 +1,6 @@
 """Weighted keywords of each site: words and phrases scored by the zones they stand in. Native.
 
-Ties go to the term that is seen first (page, zone, sentence, phrase length, position). The stop list is a parameter.
+Ties go to the term that is seen first (page, zone, sentence, phrase length, position), then in the order of the terms. The stop list is a parameter.
 """
 
 from __future__ import annotations
@@ -60,6 +60,6 @@ def keywords(silver: DataFrame, words: int = 12, phrases: int = 10, stop: tuple[
     """site, kind (word, phrase), rank, term, score: words by rounded score, phrases of score 3 or more relative to the best (100)."""
     scored = terms(silver, stop, body_chars).withColumn("kind", F.when(F.col("n") == 1, "word").otherwise("phrase")).where("kind = 'word' or score >= 3")
     of = Window.partitionBy("site", "kind")
-    ranked = scored.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "first"))).where(F.col("rank") <= F.when(F.col("kind") == "word", words).otherwise(phrases))
+    ranked = scored.withColumn("rank", F.row_number().over(of.orderBy(F.desc("score"), "first", "term"))).where(F.col("rank") <= F.when(F.col("kind") == "word", words).otherwise(phrases))
     shown = F.when(F.col("kind") == "word", F.floor(F.col("score") + 0.5)).otherwise(F.floor(100 * F.col("score") / F.max("score").over(of) + 0.5))
     return ranked.select("site", "kind", "rank", "term", shown.cast("int").alias("score"))

@@ -93,5 +93,7 @@ SQL = {
     "affected_pages": oracle_sql.AFFECTED_PAGES,
     "page_summary": oracle_sql.PAGE_SUMMARY,
     "url_functions": oracle_sql.URL_FUNCTIONS,
+    "site_keywords": oracle_sql.keywords_sql(keywords.STOP, keywords.ZONES),
+    "rate_limiter": oracle_sql.RATE_LIMITER,
     "reachable_pages": oracle_sql.REACHABLE,
 }

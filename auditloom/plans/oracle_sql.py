@@ -260,3 +260,29 @@ REACHABLE = PAGES + """, walk(site, url, depth) as (
   union
   select w.site, e.target, w.depth + 1 from walk w join e on e.site = w.site and e.source = w.url where w.depth < 12)
 select site, url, min(depth) as depth from walk group by site, url"""
+
+
+def keywords_sql(stop: tuple[str, ...], zones: dict[str, float], words: int = 12, phrases: int = 10) -> str:
+    heading = lambda n: f"list_transform(regexp_extract_all(seen, '(?is)<h{n}(?:\\s[^>]*)?>(.*?)</h{n}>', 1), lambda x: trim(regexp_replace(regexp_replace({_plain('x')}, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')))"
+    texts = {"title": "[coalesce(title, '')]", "h1": "h1", "description": "[coalesce(description, '')]", "h2": heading(2), "h3": heading(3), "body": "[text]"}
+    rows = " union all ".join(f"select site, page_id, {i} as zone_no, {w}::double as weight, unnest({texts[z]}) as t from p" for i, (z, w) in enumerate(zones.items()))
+    no = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(stop)))
+    return PAGES + rf""", z as ({rows}),
+s as (select site, page_id, zone_no, weight, unnest(range(len(a))) as sentence, unnest(a) as t from (select *, regexp_split_to_array(t, '[.!?;:()«»"|•·—–\n]+') as a from z)),
+k as (select site, page_id, zone_no, weight, sentence, list_filter(list_transform(regexp_split_to_array(replace(lower(t), 'ё', 'е'), '[^\p{{L}}0-9-]+'), lambda x: regexp_replace(x, '^-+|-+$', '', 'g')), lambda x: x <> '') as w from s),
+g as (select site, page_id, zone_no, weight, sentence, n, i, w[i + 1 : i + n] as gram from (select k.*, unnest(range(len(w))) as i from k) cross join (values (1), (2), (3)) v(n) where i + n <= len(w)),
+u as (select * from g where length(gram[1]) >= 3 and length(gram[n]) >= 3 and gram[1] not in ({no}) and gram[n] not in ({no}) and len(list_filter(gram, lambda x: regexp_matches(x, '^[0-9]+$'))) = 0),
+t as (select site, array_to_string(gram, ' ') as term, n, sum(weight) as score, min(row(page_id, zone_no, sentence, n, i)) as first from u group by all),
+r as (select site, case when n = 1 then 'word' else 'phrase' end as kind, term, score, first from t where n = 1 or score >= 3),
+o as (select *, row_number() over (partition by site, kind order by score desc, first, term) as rank, max(score) over (partition by site, kind) as most from r)
+select site, kind, cast(rank as integer) as rank, term, cast(floor(case when kind = 'word' then score else 100 * score / most end + 0.5) as integer) as score from o where rank <= case when kind = 'word' then {words} else {phrases} end"""
+
+
+RATE_LIMITER = """
+with recursive h as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as i from events),
+r(user_id, i, event_id, passed, times) as (
+  select user_id, i, event_id, true, [us] from h where i = 1
+  union all
+  select user_id, i, event_id, len(y) < 10, case when len(y) < 10 then list_append(y, us) else y end from (
+    select h.user_id, h.i, h.event_id, h.us, list_filter(r.times, lambda t: h.us - t < 3600000000) as y from r join h on h.user_id = r.user_id and h.i = r.i + 1))
+select event_id, user_id, passed from r"""
