@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    for name_of in ("pages", "events"):
+        con.execute(f"create view {name_of} as select * from '{SF}/{name_of}.parquet'")
     cursor = con.execute(queries.SQL[name])
     columns = [d[0] for d in cursor.description]
     want = sorted(repr(sorted(zip(columns, row, strict=True))) for row in cursor.fetchall())
