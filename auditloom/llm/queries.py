@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, decontaminate, html_extract, language_id, line_dedup, ngram_join, token_counts, toxicity, url_filters
+from . import ann, byte_bpe, centroid_clusters, decontaminate, html_extract, language_id, license_scan, line_dedup, ngram_join, prefix_trie, token_counts, toxicity, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         toxicity.op8_toxicity,
         ann.op9_ann,
         language_id.op10_language_id,
+        centroid_clusters.op11_centroid_clusters,
+        license_scan.op12_license_scan,
+        prefix_trie.op13_prefix_trie,
     )
 }
 
@@ -26,4 +29,6 @@ SQL = {
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op9_ann": ann.OP9_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op11_centroid_clusters": centroid_clusters.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
