@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import urls
 from auditloom.operators import keywords
-from auditloom.plans import checks, crawl, oracle_sql, redirects
-from auditloom.sources.html import parse_pages
+from auditloom.plans import checks, crawl, frontier, oracle_sql, redirects
+from auditloom.sources import charset, sitemaps
+from auditloom.sources.html import located, parse_pages
 from auditloom.streaming import ratelimit
-from auditloom.tables import table, written
+from auditloom.tables import numbered, table, written
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,63 @@ def affected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.affected_pages(silver(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter)}
+def _stored_sitemaps(spark: SparkSession, sf_dir: str) -> sitemaps.Sitemaps:
+    """Sitemap documents made of the stored addresses, read back: robots.txt declares a missing one, /sitemap.xml is an index of indexes, whose
+    children list 50 page ids each in a prefixed namespace; every index also points back at /sitemap.xml."""
+    pages = located(table(spark, sf_dir, "pages")).select("site", "page_id", frontier.canonical_key(F.col("url")).alias("url"))
+    origin = F.concat(F.lit("https://"), "site")
+    bucket = lambda size: F.floor(F.col("page_id") / size).cast("string")
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = pages.select("site", "page_id", bucket(50).alias("leaf"), bucket(2500).alias("branch"), F.concat(F.lit("<m:url><i:image><i:loc>x</i:loc></i:image><m:loc> "), escaped, F.lit(" </m:loc></m:url>")).alias("row"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["row"]), "")
+    child = lambda name: F.concat(F.lit("<sitemap><loc><![CDATA["), origin, F.lit("/sitemap-"), name, F.lit(".xml]]></loc></sitemap>"))
+    back = F.concat(F.lit("<sitemap><loc>"), origin, F.lit("/sitemap.xml</loc></sitemap>"))
+    leaves = rows.groupBy("site", "branch", "leaf").agg(joined(F.struct("page_id", "row")).alias("rows"))
+    index = lambda rows_of: F.concat(F.lit('<?xml version="1.0"?><!-- <sitemap><loc>no</loc></sitemap> --><sitemapindex xmlns="s">'), back, rows_of, F.lit("</sitemapindex>"))
+    of_branches = leaves.groupBy("site", "branch").agg(joined(F.struct(F.col("leaf").cast("long").alias("no"), child(F.col("leaf")).alias("row"))).alias("rows"))
+    of_sites = of_branches.groupBy("site").agg(joined(F.struct(F.col("branch").cast("long").alias("no"), child(F.concat(F.lit("b"), "branch")).alias("row"))).alias("rows"))
+    documents = (
+        leaves.select("site", F.concat(origin, F.lit("/sitemap-"), "leaf", F.lit(".xml")).alias("url"), F.concat(F.lit('<m:urlset xmlns:m="s">'), "rows", F.lit("</m:urlset>")).alias("body"))
+        .unionByName(of_branches.select("site", F.concat(origin, F.lit("/sitemap-b"), "branch", F.lit(".xml")).alias("url"), index(F.col("rows")).alias("body")))
+        .unionByName(of_sites.select("site", F.concat(origin, F.lit("/sitemap.xml")).alias("url"), index(F.col("rows")).alias("body")))
+    )
+    sites = pages.select("site").distinct()
+    robots = sites.select("site", F.lit(200).alias("status"), F.lit("text/plain").alias("content_type"), F.concat(F.lit("User-agent: *\nSitemap: "), origin, F.lit("/gone.xml\n")).alias("body"))
+    return sitemaps.load_sitemaps(documents.withColumn("status", F.lit(200)), sites.select("site", origin.alias("origin")), robots)
+
+
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_sitemaps(spark, sf_dir).urls.select("site", "order", "url")
+
+
+def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of 20 pages of each site over the stored pages and their sitemaps. As few links lead to stored pages, each counts as one to the stored
+    page (by page_id) whose number is the target's length and last character's code, modulo their count."""
+    pages = silver(spark, sf_dir)
+    stored = pages.groupBy("site", frontier.canonical_key(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"), F.max("is_home").alias("is_home"))
+    counts = stored.groupBy("site").agg(F.count("*").alias("n"))
+    stored = written(numbered(stored, "site", "page_id", "url").join(counts, "site"))
+    asked = frontier.crawl_links(pages).join(counts, "site").withColumn("no", (F.length("target") + F.ascii(F.right("target", F.lit(1)))) % F.col("n") + 1)
+    met = asked.select("site", "source", "pos", "no").join(stored.select("site", F.col("order").alias("no"), F.col("url").alias("target")), ["site", "no"])
+    links = frontier.openable(met.groupBy("site", "source", "target").agg(F.min("pos").alias("pos")), stored.where("is_home"), url="target")
+    sitemap = frontier.openable(_stored_sitemaps(spark, sf_dir).urls, stored.where("is_home"))
+    return frontier.plan(stored, links, sitemap, 20)
+
+
+def decoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as servers would send them, read back: accented letters as Cyrillic ones, and by page_id in UTF-8, in windows-1251 that the header
+    declares, in koi8-r that only the page declares, in windows-1251 under a false header, and in UTF-8 with broken bytes."""
+    way = F.pmod("page_id", F.lit(5))
+    said = F.when(way == 2, F.concat(F.lit("<meta charset='koi8-r'>"), F.regexp_replace("html", "(?i)<meta charset[^>]*>", ""))).otherwise(F.col("html"))
+    text = F.translate(said, charset.ACCENTED, charset.CYRILLIC)
+    sent = F.when(way.isin(0, 4), F.encode(text, "UTF-8")).otherwise(charset.encoded(text, F.when(way == 2, F.lit("koi8-r")).otherwise(F.lit("windows-1251"))))
+    sent = F.when(way == 4, F.concat(sent, F.unhex(F.lit("FF41C3E282")))).otherwise(sent)
+    kind = F.when(way == 1, "text/html; charset=Windows-1251").when(way == 3, "text/html;charset=utf-8").when(way == 4, "text/html; charset=no-such").otherwise("text/html")
+    bodies = table(spark, sf_dir, "pages").select("page_id", sent.alias("body"), kind.alias("content_type"))
+    return charset.decoded(bodies).select("page_id", "charset", F.length("html").alias("n_chars"), F.md5(F.encode("html", "UTF-8")).alias("html_md5"))
+
+
+QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies)}
 
 SQL = {
     "site_checks": oracle_sql.SITE_CHECKS,
@@ -96,4 +153,7 @@ SQL = {
     "site_keywords": oracle_sql.keywords_sql(keywords.STOP, keywords.ZONES),
     "rate_limiter": oracle_sql.RATE_LIMITER,
     "reachable_pages": oracle_sql.REACHABLE,
+    "sitemap_urls": oracle_sql.SITEMAP_URLS,
+    "crawl_plan": oracle_sql.CRAWL_PLAN,
+    "decoded_bodies": oracle_sql.DECODED_BODIES,
 }

@@ -54,3 +54,9 @@ def allowed(robots: DataFrame, asked: DataFrame) -> DataFrame:
     met = own.join(rules(lines).withColumnRenamed("path", "rule"), ["site", "group_no"]).where(F.regexp(F.col("path"), pattern))
     best = met.groupBy("site", "bot", "path").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("best"))
     return asked.join(best, ["site", "bot", "path"], "left").select("site", "bot", "path", F.coalesce("best", F.lit(True)).alias("allowed"))
+
+
+def blocked(robots: DataFrame, bot: str) -> DataFrame:
+    """site of the robots that name the bot and close the whole site to it; being closed by `*` alone doesn't count."""
+    named = agents(directives(robots)).where((F.col("agent") != "*") & F.contains(F.lit(bot.lower()), F.col("agent"))).select("site").distinct()
+    return allowed(robots, named.select("site", F.lit(bot).alias("bot"), F.lit("/").alias("path"))).where("not allowed").select("site")

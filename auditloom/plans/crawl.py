@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import robots as rules
 from auditloom.sources.html import css_facts
+from auditloom.sources.sitemaps import locs
 from auditloom.tables import written
 
 from .registry import _GOOD_ALT, _FOREIGN, _TRACKED, RASTER, q
@@ -45,8 +46,9 @@ class Crawl(NamedTuple):
 
 
 def edges(silver: DataFrame) -> DataFrame:
-    """site, source, target: distinct internal links."""
-    links = silver.select("site", F.col("url").alias("source"), F.explode(F.filter("links", lambda x: x["internal"] & x["abs"].isNotNull())).alias("l"))
+    """site, source, target: distinct internal links of the pages that open, and of the home page whatever its status."""
+    opened = silver.where("is_home or coalesce(status, 200) = 200") if "status" in silver.columns else silver
+    links = opened.select("site", F.col("url").alias("source"), F.explode(F.filter("links", lambda x: x["internal"] & x["abs"].isNotNull())).alias("l"))
     return links.select("site", "source", F.col("l.abs").alias("target")).distinct()
 
 
@@ -211,13 +213,5 @@ def asset_facts(assets: DataFrame) -> DataFrame:
 
 
 def sitemap_locs(bodies: DataFrame) -> DataFrame:
-    """site, is_xml, is_index, locs of sitemap bodies (site, body). Native: locations are cut out of url or sitemap elements."""
-    body = F.trim(F.coalesce("body", F.lit("")))
-    xml = body.rlike(r"(?i)^(<\?xml|<urlset|<sitemapindex)") & ~F.left(body, F.lit(500)).rlike("(?i)<html")
-    index = body.rlike(r"<sitemapindex[\s>]")
-    locs = F.when(index, F.regexp_extract_all(body, F.lit(r"(?s)<sitemap>.*?<loc>\s*(.*?)\s*</loc>"), F.lit(1))).otherwise(F.regexp_extract_all(body, F.lit(r"(?s)<url>.*?<loc>\s*(.*?)\s*</loc>"), F.lit(1)))
-    plain = F.transform(locs, lambda x: F.replace(F.replace(F.replace(F.regexp_replace(x, r"(?s)^<!\[CDATA\[\s*(.*?)\s*\]\]>$", "$1"), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")))
-    none = F.array().cast("array<string>")
-    return bodies.select("site", xml.alias("is_xml"), (xml & index).alias("is_index"), F.when(xml, F.filter(plain, lambda x: x != "")).otherwise(none).alias("locs"))
-
-
+    """site, is_xml, is_index, locs of sitemap bodies (site, body)."""
+    return locs(bodies).select("site", "is_xml", "is_index", "locs")

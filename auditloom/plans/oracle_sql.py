@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from auditloom.sources.charset import ACCENTED, CYRILLIC
+
 from .registry import CATEGORIES, PAGE_CHECKS, SEVERITIES
 
 def _tag(tag: str, name: str) -> str:
@@ -255,11 +257,55 @@ select page_id, host || p || query as short,
        regexp_matches(path, '(?i)\.(pdf|jpe?g|png|gif|webp|avif|svg|ico|zip|rar|7z|docx?|xlsx?|pptx?|mp4|mp3|avi|mov|webm|css|js|json|xml|txt|woff2?|ttf|eot|exe|dmg|apk)$') as is_file,
        scheme || '://' || host || '/' as root from v
 """
-REACHABLE = PAGES + """, walk(site, url, depth) as (
-  select site, url, 0 from p where is_home
+REACHABLE = PAGES + """, walk(site, url, depth) using key (site, url) as (
+  select distinct site, url, 0 from p where is_home
+  union
+  select c.site, c.target, c.depth from (select e.site, e.target, min(w.depth) + 1 as depth from walk w join e on e.site = w.site and e.source = w.url group by 1, 2) c
+  left join recurring.walk r on r.site = c.site and r.url = c.target where r.depth is null or c.depth < r.depth)
+select site, url, depth from walk"""
+_KEYED = r"""case when regexp_matches(url, '^[^/?#]+://[^/?#]*(\?|$)') then regexp_replace(url, '^([^/?#]+://[^/?#]*)', '\1/') else url end"""
+SITEMAP_URLS = rf"""
+with k as (
+  select page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') as site, regexp_replace(url, '#.*$', '') as url from pages)
+select site, row_number() over (partition by site order by page_id) as "order", {_KEYED} as url from k"""
+_FILE = r"""'(?i)://[^/?#]*[^?#]*\.(pdf|jpe?g|png|gif|webp|avif|svg|ico|zip|rar|7z|docx?|xlsx?|pptx?|mp4|mp3|avi|mov|webm|css|js|json|xml|txt|woff2?|ttf|eot|exe|dmg|apk)([?#]|$)'"""
+CRAWL_PLAN = PAGES + rf""", kp as (select site, page_id, is_home, links, {_KEYED} as url, regexp_extract(url, '^[^/]+://[^/?#]*', 0) as origin from p),
+stored as materialized (
+  select *, row_number() over (partition by site order by page_id, url) - 1 as no, count(*) over (partition by site) as n
+  from (select site, url, min(page_id) as page_id, bool_or(is_home) as is_home from kp group by site, url)),
+home as (select site, url, lower(regexp_extract(url, '://([^/?#:]*)', 1)) as host from stored where is_home),
+hrefs as (select site, url as source, origin, unnest(range(len(links))) as pos, unnest(links).href as href from kp),
+asked as (
+  select site, source, min(pos) as pos, target from (
+    select site, source, pos, {_KEYED.replace('url', 't')} as target from (select *, origin || regexp_replace(href, '#.*$', '') as t from hrefs where starts_with(href, '/') and not starts_with(href, '//')))
+  join home using (site) where lower(regexp_extract(target, '://([^/?#:]*)', 1)) = host and not regexp_matches(target, {_FILE}) group by site, source, target),
+way as materialized (
+  select a.site, a.source, s.url as target, min(a.pos)::integer as pos from asked a join (select distinct site, n from stored) using (site)
+  join stored s on s.site = a.site and s.no = (length(a.target) + ascii(right(a.target, 1))) % s.n
+  join home on home.site = a.site where lower(regexp_extract(s.url, '://([^/?#:]*)', 1)) = home.host and not regexp_matches(s.url, {_FILE}) group by all),
+starts as materialized (
+  select site, url, []::bigint[] as start from home
+  union all
+  select s.site, s.url, [min(rank)] from (select site, {_KEYED} as url, row_number() over (partition by site order by page_id) as rank from p) s
+  join home using (site) where s.url <> home.url and lower(regexp_extract(s.url, '://([^/?#:]*)', 1)) = home.host and not regexp_matches(s.url, {_FILE})
+    and not exists (select 1 from way w where w.site = s.site and w.source = home.url and w.target = s.url) group by s.site, s.url),
+walk(site, url, place) using key (site, url) as (
+  select site, url, struct_pack(start := start, depth := 0, way := []::integer[]) from starts
   union
-  select w.site, e.target, w.depth + 1 from walk w join e on e.site = w.site and e.source = w.url where w.depth < 12)
-select site, url, min(depth) as depth from walk group by site, url"""
+  select c.site, c.url, c.place from (
+    select w.site, l.target as url, min(struct_pack(start := w.place.start, depth := w.place.depth + 1, way := list_append(w.place.way, l.pos))) as place
+    from walk w join way l on l.site = w.site and l.source = w.url where not exists (select 1 from starts s where s.site = w.site and s.url = l.target) group by 1, 2) c
+  left join recurring.walk r on r.site = c.site and r.url = c.url where r.url is null or c.place < r.place),
+ranked as (select site, url, place, row_number() over (partition by site order by place, url) as "order" from walk)
+select site, "order", url, place.depth as depth, case when place.depth > 0 then 'link' when len(place.start) > 0 then 'sitemap' else 'home' end as via from ranked where "order" <= 20"""
+DECODED_BODIES = f"""
+with t as (
+  select page_id, ((page_id % 5) + 5) % 5 as way, translate(case when page_id % 5 = 2 then '<meta charset=''koi8-r''>' || regexp_replace(html, '(?i)<meta charset[^>]*>', '', 'g') else html end, '{ACCENTED}', '{CYRILLIC}') as text from pages),
+d as (
+  select page_id, case way when 1 then 'windows-1251' when 2 then 'koi8-r' else 'utf-8' end as charset,
+         case way when 0 then text when 1 then regexp_replace(text, '[^\\x00-\\x7F{CYRILLIC}]', '?', 'g') when 2 then regexp_replace(text, '[^\\x00-\\x7F{CYRILLIC}]', '?', 'g')
+           when 3 then regexp_replace(regexp_replace(text, '[^\\x00-\\x7F{CYRILLIC}]', '?', 'g'), '[{CYRILLIC}]', chr(65533), 'g') else text || chr(65533) || 'A' || chr(65533) || chr(65533) end as html from t)
+select page_id, charset, length(html)::integer as n_chars, md5(html) as html_md5 from d"""
 
 
 def keywords_sql(stop: tuple[str, ...], zones: dict[str, float], words: int = 12, phrases: int = 10) -> str:

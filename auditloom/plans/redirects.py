@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.tables import written
+from auditloom.tables import removed, written
 
 MAX_HOPS = 8
 
@@ -50,13 +52,22 @@ def redirect_chains(responses: DataFrame, starts: DataFrame, max_hops: int = MAX
     return out.select("site", "kind", "hops", last["url"].alias("final_url"), last["status"].alias("final_status"), "loop")
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """site, url, depth: what links (site, source, target) reach from starts (site, url), and over how few links."""
+def reachable(edges: DataFrame, starts: DataFrame, parts: int = 8) -> DataFrame:
+    """site, url, depth: what links (site, source, target) reach from starts (site, url), and over how few links.
+
+    A round is a join of the last one's addresses and an anti-join with those seen; of these every `parts` rounds' tables become one, so
+    a plan reads so many at most however long paths are."""
     front = written(starts.select("site", "url").distinct().withColumn("depth", F.lit(0)))
-    seen = front
+    seen = [front]
     while not front.isEmpty():
         links = edges.select("site", F.col("source").alias("url"), "target")
-        new = front.join(links, ["site", "url"]).select("site", F.col("target").alias("url"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = written(new.join(seen.select("site", "url"), ["site", "url"], "left_anti"))
-        seen = seen.unionByName(front)
-    return seen
+        new = front.join(links, ["site", "url"]).groupBy("site", F.col("target").alias("url")).agg((F.min("depth") + 1).alias("depth"))
+        every = functools.reduce(DataFrame.unionByName, seen)
+        front = written(new.join(every.select("site", "url"), ["site", "url"], "left_anti"))
+        seen.append(front)
+        if len(seen) > parts:
+            one = written(functools.reduce(DataFrame.unionByName, seen[:-1]))
+            for x in seen[:-1]:
+                removed(x)
+            seen = [one, front]
+    return functools.reduce(DataFrame.unionByName, seen)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,4 +25,27 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/auditloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._auditloom_path = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(df._auditloom_path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, by: str, *order: str, name: str = "order") -> DataFrame:
+    """df with 1, 2, ... in the order of the given columns for each value of `by`.
+
+    The rows are sorted over all partitions at once, so that a hot value is spread like others; what meets in one task is a row for each
+    partition that holds the value. Columns of `order` should tell rows apart."""
+    rows = written(df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    runs = rows.groupBy(by, part.alias("__part")).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select(F.col(by).alias("__by"), F.col("__part").alias("__at"), (before - F.col("__first") + 1).alias("__shift"))
+    met = rows.join(starts, F.col(by).eqNullSafe(F.col("__by")) & (part == F.col("__at")))
+    return met.withColumn(name, F.col("__id") + F.col("__shift")).drop("__id", "__by", "__at", "__shift")
