@@ -24,7 +24,7 @@ their what when which who how why use using get
 
 
 def zones(silver: DataFrame, body_chars: int | None = None) -> DataFrame:
-    """site, page_id, zone_no, weight, text. The whole body, or its first body_chars characters (20,000 in the reference)."""
+    """site, page_id, zone_no, weight, text of the pages that open. The whole body, or its first body_chars characters (20,000 in the reference)."""
     level = lambda n: F.transform(F.filter("headings", lambda h: h["level"] == n), lambda h: h["text"])
     one = lambda c: F.array(F.coalesce(c, F.lit("")))
     texts = {"title": one(F.col("title")), "h1": F.col("h1"), "description": one(F.col("description")), "h2": level(2), "h3": level(3), "body": one(F.col("text") if body_chars is None else F.left("text", F.lit(body_chars)))}
@@ -33,7 +33,8 @@ def zones(silver: DataFrame, body_chars: int | None = None) -> DataFrame:
         return F.transform(texts[name], lambda t: F.struct(F.lit(i).alias("zone_no"), F.lit(ZONES[name]).alias("weight"), t.alias("text")))
 
     rows = F.flatten(F.array(*[zone(i, name) for i, name in enumerate(ZONES)]))
-    return silver.select("site", "page_id", F.explode(rows).alias("z")).select("site", "page_id", "z.*")
+    opened = silver.where("coalesce(status, 200) = 200") if "status" in silver.columns else silver
+    return opened.select("site", "page_id", F.explode(rows).alias("z")).select("site", "page_id", "z.*")
 
 
 def terms(silver: DataFrame, stop: tuple[str, ...] = STOP, body_chars: int | None = None) -> DataFrame:
