@@ -1,87 +1,129 @@
 """A whole crawl with planted defects, and small tables against the SQL."""
 
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
-from auditloom.operators import queries, robots
+from auditloom.operators import keywords, queries, robots
 from auditloom.plans import checks, crawl
-from auditloom.plans.registry import checks_for
+from auditloom.sources import sitemaps
 from auditloom.sources.html import mobile_css, parse, parse_pages
 from auditloom.tables import written
 
-HOST = "http://fix.test"
-NAV = "<header><nav><a href='/'>Home</a><a href='/about/'>About</a><a href='/services/'>Services</a><a href='/old/'>Old</a><a href='/missing-page/'>Gone</a></nav></header>"
-FOOT = "<footer><a href='/privacy/'>Privacy policy</a> <a href=\"tel:+74950000000\">+7 495 000-00-00</a></footer>"
-
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import sites  # noqa: E402
 
-def words(n, kind):
-    return " ".join(f"{kind}{i % 37}{'abcdefgh'[i % 8]}" for i in range(n))
+HEADERS = "map<string,string>"
+SENT = f"page_id long, url string, html string, status int, headers {HEADERS}, bytes long, ttfb_ms int"
 
 
-def layout(title, body, head=""):
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width, initial-scale=1"><title>{title}</title>{head}</head><body>{NAV}{body}{FOOT}</body></html>'
+def whole_crawl(spark) -> crawl.Crawl:
+    """All tables of a crawl of the three sites."""
+    table = spark.createDataFrame
+    good, bad = "orchard.test", "wreck.test"
+    pages = [(i, sites.GOOD + p, h, 200, sites.GOOD_HEADERS, 20_000, 50) for i, (p, h) in enumerate(sites.GOOD_PAGES.items(), 1)]
+    pages += [(i, u, h, status, sites.BAD_HEADERS, 3 << 20, 2000) for i, (u, (status, h)) in enumerate(sites.BAD_PAGES.items(), 101)]
+    pages += [(201, sites.BARE, "", 200, {}, 10, 50)]
+    hops = lambda *urls: [(u, 301 if i + 1 < len(urls) else 200) for i, u in enumerate(urls)]
+    chains = [
+        (good, "home", hops(sites.GOOD + "/"), sites.GOOD + "/", 200, False),
+        (good, "http", hops("http://orchard.test/", sites.GOOD + "/"), sites.GOOD + "/", 200, False),
+        (good, "alt_host", hops("https://www.orchard.test/", sites.GOOD + "/"), sites.GOOD + "/", 200, False),
+        (bad, "home", hops(sites.BAD + "/a", sites.BAD + "/b", sites.BAD + "/c", sites.BAD + "/"), sites.BAD + "/", 503, True),
+        (bad, "alt_host", hops("http://www.wreck.test/"), "http://www.wreck.test/", 200, False),
+        ("bare.test", "http", hops("http://bare.test/"), "http://bare.test/", 200, False),
+    ]
+    custom = "<a href=/a>a</a><a href=/b>b</a><a href=/c>c</a>" + "." * 1500
+    probes = [(good, "not_found", sites.GOOD + "/none", 404, custom), (good, "favicon", sites.GOOD + "/favicon.ico", 200, ""), (bad, "not_found", sites.BAD + "/none", 200, "here"), (bad, "favicon", sites.BAD + "/favicon.ico", 404, "")]
+    robots_txt = [(good, 200, "text/plain", "User-agent: *\nDisallow: /basket/\n\nSitemap: https://orchard.test/map.xml"), (bad, 200, "text/html", "<html>User-agent: *"), ("bare.test", 200, "text/plain", "User-agent: *\nDisallow: /")]
+    documents = [(good, sites.GOOD + "/map.xml", 200, "<urlset>" + "".join(f"<url><loc>{sites.GOOD}{p}</loc></url>" for p in sites.GOOD_PAGES) + "</urlset>"), (bad, sites.BAD + "/sitemap.xml", 404, ""), ("bare.test", "https://bare.test/sitemap.xml", 200, "<html>")]
+    rules_of = table(robots_txt, "site string, status int, content_type string, body string")
+    found = sitemaps.load_sitemaps(table(documents, "site string, url string, status int, body string"), table([(good, sites.GOOD), (bad, sites.BAD), ("bare.test", "https://bare.test")], "site string, origin string"), rules_of)
+    kept = {"cache-control": "max-age=600"}
+    assets = [
+        (good, sites.GOOD + "/trees.webp", "image", 200, 20_000, "image/webp", kept, None),
+        (good, sites.GOOD + "/main.css", "css", 200, 900, "text/css", kept, "img { max-width: 100% }"),
+        (bad, sites.BAD + "/IMG_001.jpg", "image", 200, 900_000, "image/jpeg", {}, None),
+        (bad, sites.BAD + "/x.png", "image", 404, 0, "text/html", {}, None),
+    ]
+    statuses = [(good, sites.GOOD + p, 200) for p in sites.GOOD_PAGES] + [(bad, sites.BAD + "/gone", 404), (bad, sites.BAD + "/moved", 302), (bad, sites.BAD + "/w1", 500)]
+    return crawl.Crawl(
+        written(parse_pages(table(pages, SENT))),
+        chains=table(chains, "site string, kind string, hops array<struct<url:string,status:int>>, final_url string, final_status int, loop boolean"),
+        probes=table(probes, "site string, kind string, url string, status int, body string"),
+        robots=rules_of,
+        sitemaps=found.sitemaps,
+        sitemap_urls=found.urls,
+        assets=table(assets, f"site string, url string, role string, status int, bytes long, content_type string, headers {HEADERS}, body string"),
+        link_status=table(statuses, "site string, url string, status int"),
+    )
 
 
-HOME = layout(
-    "Roof and wall repair of every kind in the whole town, cheap and well done by us",
-    f"<main><h1>Roof repair</h1><h3>Skipped</h3><p>{words(260, 'home')}</p><p>Costs от 4 500 ₽ a day, 30 days.</p><img src='/img/heavy.jpg' alt='IMG_1234.jpg'><img src='/img/ok.webp' alt='A kitchen' width=400 height=300>"
-    "<a href='https://example.org/partner'>Partner</a><form action='/send'><input name=name placeholder=Name><input type=tel name=phone><button>Send</button></form>"
-    "<details><summary>How much?</summary>4500.</details><details><summary>When?</summary>Soon.</details><ul><li>One</li><li>Two</li><li>Three</li></ul></main>",
-    f"<meta name='description' content='Repair of roofs and walls: an estimate in a day, a fixed price, three years of warranty and a clean site.'><link rel=canonical href='{HOST}/'><meta property='og:title' content='Repair'><meta property='og:description' content='All in'>"
-    '<script type="application/ld+json">{"@type":"LocalBusiness","name":"Repair"}</script><style>.wrap{width:1200px}</style>',
-)
-PAGES = [
-    (1, "/", HOME),
-    (2, "/about/", layout("About the company that repairs all the roofs", f"<main><h1>About</h1><h2>History</h2><p>{words(230, 'about')}</p></main>", f"<link rel=canonical href='{HOST}/about/'>")),
-    (3, "/services/", layout("About the company that repairs all the roofs", f"<main><h1>Services</h1><h2>List</h2><p>{words(40, 'serv')}</p><a href='/services/repair/flats/'>Flats</a></main>")),
-    (4, "/services/repair/flats/", layout("Repair of flats: prices and times of work in town", f"<main><h1>Flats</h1><h2>Prices</h2><p>{words(220, 'flat')}</p></main>")),
-    (5, "/privacy/", layout("How the company treats the personal data of yours", f"<main><h1>Policy</h1><p>{words(220, 'priv')}</p></main>")),
-]
-ROBOTS = "User-agent: *\nDisallow:\t/admin/\n\nUser-agent:\tGPTBot\nDisallow:\t/\n\nSitemap: http://fix.test/sitemap.xml\n"
-FAILED = "ai-bots-allowed no-broken-internal-links no-links-to-redirects forms-have-consent a11y-form-labels image-weight-limit title-length-range title-unique-across-site heading-hierarchy-no-skip alt-not-just-filename external-links-have-rel no-server-version-disclosure no-fixed-pixel-width-wrapper breadcrumbs-present sitemap-covers-crawled-pages og-image-present https-enabled 404-page-is-custom cache-headers-static text-length-min alt-coverage-ratio".split()
-PASSED = "homepage-status-200 robots-txt-exists robots-txt-parseable robots-declares-sitemap robots-not-disallow-all sitemap-exists sitemap-valid-xml sitemap-covers-homepage sitemap-urls-same-host 404-returns-404-code charset-utf8 viewport-meta-present h1-present ai-prices-in-text ai-faq-block ai-machine-structure ai-answer-on-top schema-organization-or-localbusiness privacy-policy-linked contacts-present-on-site no-placeholder-text no-redirect-loop redirect-chain-max-1 no-5xx-on-crawl image-modern-format no-broken-images no-orphan-crawled-pages duplicate-content-across-pages trailing-slash-consistency".split()
-NA = "hsts-header http-redirects-to-https www-canonical-redirect cookie-notice-with-trackers consent-not-prechecked".split()
-HEADERS = "map<string,string>"
+def expected() -> dict[tuple[str, str], str]:
+    """Of each of the 127 checks: the sound site passes it, the broken one fails it, but for what is named in sites.py with its reason."""
+    want = {}
+    for c in checks.ALL_CHECKS:
+        want["orchard.test", c.id] = "na" if c.id in sites.GOOD_NA else "passed"
+        want["wreck.test", c.id] = "na" if c.id in sites.BAD_NA else "passed" if c.id in sites.BAD_PASSED else "failed"
+    return want
 
 
 @pytest.fixture(scope="module")
 def fixture(spark):
-    sent = {"content-type": "text/html; charset=utf-8", "server": "nginx/1.25.3"}
-    pages = spark.createDataFrame([(i, HOST + p, h, 200, sent, len(h), 40) for i, p, h in PAGES], f"page_id long, url string, html string, status int, headers {HEADERS}, bytes long, ttfb_ms int")
-    table = spark.createDataFrame
-    locs = crawl.sitemap_locs(table([("fix.test", f"<?xml version='1.0'?><urlset><url><loc> {HOST}/ </loc></url><url><loc>{HOST}/about/</loc></url></urlset>")], "site string, body string"))
-    return crawl.Crawl(
-        written(parse_pages(pages)),
-        chains=table([("fix.test", "home", [(HOST + "/", 200)], HOST + "/", 200, False)], "site string, kind string, hops array<struct<url:string,status:int>>, final_url string, final_status int, loop boolean"),
-        probes=table([("fix.test", "not_found", HOST + "/nope", 404, "<html>Not found</html>"), ("fix.test", "favicon", HOST + "/favicon.ico", 404, "")], "site string, kind string, url string, status int, body string"),
-        robots=table([("fix.test", 200, "text/plain", ROBOTS)], "site string, status int, content_type string, body string"),
-        sitemaps=table([("fix.test", True, True, HOST + "/sitemap.xml")], "site string, found boolean, valid boolean, source string"),
-        sitemap_urls=locs.selectExpr("site", "explode(locs) as url"),
-        assets=table([("fix.test", HOST + "/img/heavy.jpg", "image", 200, 430080, "image/jpeg", {}, None), ("fix.test", HOST + "/img/ok.webp", "image", 200, 20480, "image/webp", {"cache-control": "max-age=86400"}, None)], f"site string, url string, role string, status int, bytes long, content_type string, headers {HEADERS}, body string"),
-        link_status=table([("fix.test", HOST + "/old/", 301), ("fix.test", HOST + "/missing-page/", 404), *(("fix.test", HOST + p, 200) for _, p, _ in PAGES)], "site string, url string, status int"),
-    )
+    return whole_crawl(spark)
 
 
-def test_a_whole_crawl(fixture):
+def test_all_checks_of_a_sound_and_a_broken_site(fixture):
     results = checks.run_checks(fixture).cache()
-    got = {r.check_id: r.status for r in results.collect()}
-    assert len(got) == 127 == len(checks_for(*fixture.tables()))
-    want = {c: s for s, ids in (("failed", FAILED), ("passed", PASSED), ("na", NA)) for c in ids}
-    assert {c: got[c] for c in want} == want
-    scores = checks.category_scores(results)
-    assert scores.count() == 9 and 20 < checks.site_scores(scores).first().score < 95
-    stats = checks.stats(results).first()
-    assert stats.failed == sum(s == "failed" for s in got.values()) and stats.check_count == 127
-    assert checks.issues(results).count() == 127 and checks.weakest_categories(scores).count() == 3
-    pages = {(r.check_id, r.url.removeprefix(HOST)) for r in checks.affected_pages(fixture).collect()}
-    assert {("breadcrumbs-present", "/services/repair/flats/"), ("title-unique-across-site", "/about/"), ("no-broken-internal-links", "/privacy/"), ("ai-bots-allowed", "/")} <= pages
-    assert ("sitemap-covers-crawled-pages", "/about/") not in pages
-    assert all(r.issues > 0 for r in checks.page_summary(fixture).collect())
-
-
-def test_robots_facts_name_the_closed_bots(fixture):
-    facts = crawl.robots_facts(fixture.robots, fixture.silver.select("site").distinct()).first()
-    assert facts.ai_closed == ["GPTBot"] and facts.closed_to == ["GPTBot"] and facts.n_directives == 5 and facts.n_declared == 1
+    got = {(r.site, r.check_id): r.status for r in results.collect()}
+    want = expected()
+    assert len(want) == 2 * 127 and len(got) == 3 * 127
+    assert {k: got[k] for k in want if got[k] != want[k]} == {}
+    bare = {c: s for (site, c), s in got.items() if site == "bare.test"}
+    planted = {c: status for status, ids in sites.BARE_STATUS.items() for c in ids}
+    assert {c: bare[c] for c in planted if bare[c] != planted[c]} == {}
+    scores = {r.site: r.score for r in checks.site_scores(checks.category_scores(results)).collect()}
+    assert scores["orchard.test"] == 100 and scores["wreck.test"] <= 5
+    stats = {r.site: r for r in checks.stats(results).collect()}
+    assert all(r.check_count == 127 for r in stats.values()) and stats["orchard.test"].failed == 0 and stats["wreck.test"].failed == 127 - len(sites.BAD_NA) - len(sites.BAD_PASSED)
+    assert checks.issues(results).count() == 3 * 127 and checks.weakest_categories(checks.category_scores(results)).count() == 9
+
+
+def test_pages_that_checks_count_against(fixture):
+    found = checks.affected_pages(fixture).collect()
+    of = lambda check: {r.url for r in found if r.check_id == check and r.site == "wreck.test"}
+    home, yard, deep, cat, naked = sites.BAD_PAGES
+    assert not [r for r in found if r.site == "orchard.test"]
+    assert of("no-mixed-content") == {deep} and of("url-no-cyrillic") == {cat} and of("title-unique-across-site") == {yard, deep} == of("description-unique-across-site")
+    assert of("duplicate-content-across-pages") == {deep, cat} and of("no-broken-internal-links") == {yard} == of("no-links-to-redirects") and of("robots-txt-exists") == {home}
+    assert of("https-enabled") == {home} and of("images-have-alt") == {yard, deep}
+    summary = {r.url: r for r in checks.page_summary(fixture).collect()}
+    assert home not in summary and summary[yard].issues > 20 and summary[sites.GOOD + "/"].issues == 0
+
+
+ERRORS = [
+    (1, "http://e.test/", 500, "<a href='/a'>a</a>"),
+    (2, "http://e.test/a", 200, "<h1>apples apples apples</h1><a href='/b'></a>"),
+    (3, "http://e.test/b", 404, "<h1>missing page missing page missing page</h1><a href='/c'>c</a>"),
+    (4, "http://e.test/c", 200, ""),
+]
+
+
+def test_error_pages_give_no_links_and_no_keywords(spark):
+    silver = parse_pages(spark.createDataFrame([(i, u, f"<html><body>{h}</body></html>", s) for i, u, s, h in ERRORS], "page_id long, url string, html string, status int"))
+    assert sorted((r.source, r.target) for r in crawl.edges(silver).collect()) == [("http://e.test/", "http://e.test/a"), ("http://e.test/a", "http://e.test/b")]
+    assert {r.term for r in keywords.keywords(silver).collect()} == {"apples", "apples apples", "apples apples apples"}
+    orphans = {r.url for r in checks.affected_pages(silver).collect() if r.check_id == "no-orphan-crawled-pages"}
+    assert orphans == {"http://e.test/c"}
+
+
+def test_robots_facts_name_the_closed_bots(spark):
+    body = "# all\nUser-agent: GPTBot\nUser-agent: Bingbot\nDisallow: /\nAllow: /open\n\nUser-Agent: *\nDisallow:\nSitemap: http://r.test/s.xml\nUnknown: x"
+    table = spark.createDataFrame([("r.test", 200, "text/plain", body)], "site string, status int, content_type string, body string")
+    facts = crawl.robots_facts(table, table.select("site")).first()
+    assert facts.ai_closed == ["GPTBot", "Bingbot"] and sorted(facts.closed_to) == ["Bingbot", "GPTBot"] and facts.n_directives == 7 and facts.n_declared == 1
     assert robots.AI_BOTS[0] == "GPTBot"
 
 
