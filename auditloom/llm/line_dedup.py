@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Scratch, table, written
 
 DIVISOR = 5
 FACTOR = 7
@@ -105,11 +105,14 @@ def without_repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "
     However the lines around it are cut: such a run is the union of the windows of _windows that lie in it. Equal are
     windows of one SHA-256. A window that overlaps its first copy stays, so that a repeated line keeps one whole run. Documents
     that lose all their words go. Rows with a null doc_id lose nothing."""
-    windows = written(_windows(df, text, doc_id))
+    scratch = Scratch(df.sparkSession)
+    windows = scratch.written(_windows(df, text, doc_id))
     firsts = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "first", "last", "copy")).alias("of"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = windows.join(firsts, "hash").where("doc_id is not null").where(F.struct("doc_id", "first") > F.struct("of.doc_id", "of.first"))
     again = again.where("not (of.doc_id <=> doc_id and of.copy = copy and of.last >= first)")
     gone = again.select("doc_id", "copy", F.explode(F.sequence("first", "last")).alias("i")).groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_set("i").alias("__gone"))
+    gone = scratch.written(gone)
+    scratch.drop(windows)
     met = df.join(gone, (df[doc_id] == gone["__id"]) & (F.xxhash64(df[text]) == gone["__copy"]), "left")
     # a generator, so that a text is split once, not for each of its lines
     split = met.withColumn("__lines", F.explode_outer(F.array(F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n", -1)))))
