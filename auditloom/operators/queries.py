@@ -10,7 +10,7 @@ from auditloom.operators import keywords
 from auditloom.plans import checks, crawl, frontier, oracle_sql, redirects
 from auditloom.sources import charset, sitemaps
 from auditloom.sources.html import located, parse_pages
-from auditloom.streaming import ratelimit
+from auditloom.streaming import ratelimit, site_results
 from auditloom.tables import numbered, table, written
 
 
@@ -135,7 +135,7 @@ def decoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.decoded(bodies).select("page_id", "charset", F.length("html").alias("n_chars"), F.md5(F.encode("html", "UTF-8")).alias("html_md5"))
 
 
-QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies)}
+QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies, site_results.streamed_site_checks)}
 
 SQL = {
     "site_checks": oracle_sql.SITE_CHECKS,
@@ -156,4 +156,5 @@ SQL = {
     "sitemap_urls": oracle_sql.SITEMAP_URLS,
     "crawl_plan": oracle_sql.CRAWL_PLAN,
     "decoded_bodies": oracle_sql.DECODED_BODIES,
+    "streamed_site_checks": oracle_sql.SITE_CHECKS,
 }

@@ -82,18 +82,12 @@ def site_outcomes(pages: DataFrame | Crawl, checks: list[Check] | None = None) -
     return site_facts(crawl).select("site", rows.alias("r")).select("site", "r.*")
 
 
-def run_checks(pages: DataFrame | Crawl, checks: list[Check] | None = None) -> DataFrame:
-    """site, check_id, status (passed, failed, na), n_bad, n_total: a row of every site and check. n_bad counts pages; of a failed `site` check it is 1."""
-    crawl = as_crawl(pages)
-    checks = _checks(crawl, checks)
-    spark = crawl.silver.sparkSession
-    dim = F.broadcast(spark.createDataFrame([(i, c.id, c.kind, c.cohort == "true") for i, c in enumerate(checks)], "check_no int, check_id string, kind string, always boolean"))
-    nothing = F.lit(None).cast("string").alias("own_status")
-    counted = page_outcomes(crawl, checks).groupBy("site", "check_id").agg(F.count_if("hit").alias("n_hit"), F.count("*").alias("n_total")).withColumn("own_status", nothing)
-    grouped = group_outcomes(crawl, checks).select("site", "check_id", F.col("n_bad").alias("n_hit"), "n_total", nothing)
-    of_sites = site_outcomes(crawl, checks).select("site", "check_id", F.when(F.col("status") == "failed", 1).otherwise(0).cast("long").alias("n_hit"), F.lit(1).cast("long").alias("n_total"), F.col("status").alias("own_status"))
-    every = crawl.silver.select("site").distinct().join(dim, how="cross")  # sites x a registry of fixed size
-    met = every.join(counted.unionByName(grouped).unionByName(of_sites), ["site", "check_id"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_total": F.coalesce("n_total", F.lit(0))})
+def judged(sites: DataFrame, counts: DataFrame, checks: list[Check]) -> DataFrame:
+    """site, check_id, status, n_bad, n_total of each site and check. counts: site, check_id, n_hit, n_total, own_status (of checks of kind `site`)."""
+    rows = [(i, c.id, c.kind, c.cohort == "true") for i, c in enumerate(checks)]
+    dim = F.broadcast(sites.sparkSession.createDataFrame(rows, "check_no int, check_id string, kind string, always boolean"))
+    every = sites.select("site").distinct().join(dim, how="cross")  # sites x a registry of fixed size
+    met = every.join(counts, ["site", "check_id"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_total": F.coalesce("n_total", F.lit(0))})
     status = (
         F.when(F.col("kind") == "site", F.coalesce("own_status", F.lit("na")))
         .when(F.col("kind") == "any", F.when((F.col("n_total") == 0) & ~F.col("always"), "na").when(F.col("n_hit") > 0, "passed").otherwise("failed"))
@@ -104,6 +98,27 @@ def run_checks(pages: DataFrame | Crawl, checks: list[Check] | None = None) -> D
     return met.select("site", "check_id", status.alias("status"), n_bad.alias("n_bad"), "n_total")
 
 
+def run_checks(pages: DataFrame | Crawl, checks: list[Check] | None = None) -> DataFrame:
+    """site, check_id, status (passed, failed, na), n_bad, n_total: a row of every site and check. n_bad counts pages; of a failed `site` check it is 1."""
+    crawl = as_crawl(pages)
+    checks = _checks(crawl, checks)
+    nothing = F.lit(None).cast("string").alias("own_status")
+    counted = page_outcomes(crawl, checks).groupBy("site", "check_id").agg(F.count_if("hit").alias("n_hit"), F.count("*").alias("n_total")).withColumn("own_status", nothing)
+    grouped = group_outcomes(crawl, checks).select("site", "check_id", F.col("n_bad").alias("n_hit"), "n_total", nothing)
+    of_sites = site_outcomes(crawl, checks).select("site", "check_id", F.when(F.col("status") == "failed", 1).otherwise(0).cast("long").alias("n_hit"), F.lit(1).cast("long").alias("n_total"), F.col("status").alias("own_status"))
+    return judged(crawl.silver, counted.unionByName(grouped).unionByName(of_sites), checks)
+
+
+def additive(checks: list[Check]) -> list[Check]:
+    """The checks whose counts are sums over pages, each of which answers for itself."""
+    return [c for c in checks if c.kind in ("page", "any") and not _reads_more(c)]
+
+
+def additive_counts(silver: DataFrame, checks: list[Check]) -> DataFrame:
+    """site, check_id, n_hit, n_total of additive checks: counts of two sets of pages add up, and what left a set is subtracted."""
+    return _outcomes(_ok(silver), checks).groupBy("site", "check_id").agg(F.count_if("hit").alias("n_hit"), F.count("*").alias("n_total"))
+
+
 def affected(pages: DataFrame | Crawl, checks: list[Check] | None = None) -> DataFrame:
     """site, check_id, page_id, url: all pages that a failed check counts against.
 

@@ -13,17 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table under spark.checkpoint.dir, which all executors share. Only a local session may do without that
-    setting: it gets a temporary folder."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share. Only a local session may do without that setting: it gets a
+    temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/auditloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/auditloom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder."""
+    spark = df.sparkSession
+    path = shared(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._auditloom_path = path
