@@ -128,10 +128,12 @@ def affected(pages: DataFrame | Crawl, checks: list[Check] | None = None) -> Dat
     checks = _checks(crawl, checks)
     dim = F.broadcast(crawl.silver.sparkSession.createDataFrame([(c.id, c.kind, c.cohort == "true") for c in checks], "check_id string, kind string, always boolean"))
     page = ["site", "check_id", "page_id", "url"]
-    outcomes = written(page_outcomes(crawl, checks).join(dim, "check_id"))
-    own = outcomes.where("kind in ('page', 'home') and hit").select(*page)
-    anyhow = outcomes.where("kind = 'any'")
-    failed = anyhow.groupBy("site", "check_id").agg(F.max("hit").alias("hit"), F.first("always").alias("always")).where("not hit")
+    of_pages, of_any = [c for c in checks if c.kind in ("page", "home")], [c for c in checks if c.kind == "any"]
+    none = crawl.silver.limit(0).select("site", "page_id", "url", F.lit("").alias("check_id"), F.lit(False).alias("hit"))
+    # only what counts against a page is kept; checks that one good page passes are decided by counts first
+    own = written((page_outcomes(crawl, of_pages) if of_pages else none).where("hit").select(*page))
+    anyhow = page_outcomes(crawl, of_any) if of_any else none
+    failed = written(anyhow.groupBy("site", "check_id").agg(F.max("hit").alias("hit")).where("not hit").join(dim, "check_id").select("site", "check_id", "always"))
     homes = crawl.silver.where("is_home").select("site", "page_id", "url")
     of_homes = failed.where("always").select("site", "check_id").unionByName(site_outcomes(crawl, checks).where("status = 'failed'").select("site", "check_id")).join(homes, "site").select(*page)
     of_cohorts = anyhow.join(failed.where("not always").select("site", "check_id"), ["site", "check_id"]).select(*page)

@@ -307,9 +307,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, html and more) to page_id, site, url, html, path, depth, is_home, the silver columns, and what else pages have
     (status, headers, bytes, ttfb_ms, say). The home page is the one of the least (depth, page_id) of its site, told from the urls alone."""
     kind = to_arrow_schema(SILVER)
-    base = with_home(located(pages))
-    columns = ["url", "html", *[c for c in base.columns if c not in ("url", "html", *SILVER.names)]]
-    base = base.select(*columns)
+    base = located(pages)
+    base = base.select("url", "html", *[c for c in base.columns if c not in ("url", "html", "is_home", *SILVER.names)])
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < cores:  # a small table in one file; parsing takes longer than dealing it out
+        base = base.repartition(cores)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +319,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             fields = pa.RecordBatch.from_pylist(found, kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, *fields.columns], [*batch.schema.names, *kind.names])
 
-    return base.mapInArrow(rows, T.StructType([*base.schema.fields, *SILVER.fields]))
+    return with_home(base.mapInArrow(rows, T.StructType([*base.schema.fields, *SILVER.fields])))
 
 
 def located(pages: DataFrame) -> DataFrame:
