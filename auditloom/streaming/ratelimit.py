@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def _limited(limit: int, window_us: int):
@@ -66,6 +67,67 @@ def stream_limited(hits: DataFrame, key: str, at: str, order: str, limit: int =
     return hits.select(key, at, order).groupBy(key).applyInPandasWithState(run, out, "times array<long>", "append", "NoTimeout")
 
 
+class _Window(StatefulProcessor):
+    """The times of a key's passed hits, at most `limit`, and the latest time that was judged; gone when the window behind it has passed."""
+
+    def __init__(self, at: str, order: str, limit: int, window_us: int):
+        self.at, self.order, self.limit, self.window_us = at, order, limit, window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "t long")
+        self.latest = handle.getValueState("latest", "t long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        passed = deque(x[0] for x in self.times.get()) if self.times.exists() else deque()
+        latest = self.latest.get()[0] if self.latest.exists() else None
+        hits = pd.concat(list(rows)).sort_values([self.at, self.order], ignore_index=True)
+        ok = []
+        for t in hits[self.at]:
+            now = None if pd.isna(t) else t.value // 1000
+            if now is not None:
+                now = latest = now if latest is None else max(now, latest)
+                while passed and now - passed[0] >= self.window_us:
+                    passed.popleft()
+            ok.append(now is not None and len(passed) < self.limit)
+            if ok[-1]:
+                passed.append(now)
+        if passed:
+            self.times.put([(t,) for t in passed])
+        else:
+            self.times.clear()
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if latest is not None:
+            self.latest.update((latest,))
+            self.handle.registerTimer((latest + self.window_us) // 1000 + 1)
+        yield hits.assign(passed=ok)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.times.clear()
+        self.latest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_limited(hits: DataFrame, key: str, at: str, order: str, limit: int = 10, window_s: int = 3600, late_s: int = 600) -> DataFrame:
+    """key, at, order, passed of a stream whose state ends: a key's goes once the watermark, late_s behind the newest hit of all, is a window past
+    the key's latest hit.
+
+    Within a micro-batch hits are taken in the order of (at, order). A hit that is older than one already judged (but within late_s) is
+    judged as if it came with that one: the clock of a key never goes back. Hits without a time are rejected and change nothing. Hits behind the watermark
+    aren't answered; Spark counts them in the query's progress. If hits come in order, the answers are those of rate_limited.
+    The session's state store must be RocksDB (spark.sql.streaming.stateStore.providerClass)."""
+    of = {k: hits.schema[k].dataType for k in (key, at, order)}
+    out = T.StructType([*(T.StructField(k, t) for k, t in of.items()), T.StructField("passed", T.BooleanType())])
+    marked = hits.select(key, at, order).withWatermark(at, f"{late_s} seconds")
+    return marked.groupBy(key).transformWithStateInPandas(_Window(at, order, limit, window_s * 1_000_000), out, "append", "eventtime")
+
+
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
     return rate_limited(events, "user_id", "ts", "event_id").select("event_id", "user_id", "passed")
