@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import urls
 from auditloom.operators import keywords
-from auditloom.plans import checks, crawl, frontier, oracle_sql, redirects
+from auditloom.plans import checks, crawl, documents, frontier, oracle_sql, redirects, work_lists
 from auditloom.sources import charset, sitemaps
 from auditloom.sources.html import located, parse_pages
 from auditloom.streaming import ratelimit, site_results
@@ -135,7 +135,16 @@ def decoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.decoded(bodies).select("page_id", "charset", F.length("html").alias("n_chars"), F.md5(F.encode("html", "UTF-8")).alias("html_md5"))
 
 
-QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies, site_results.streamed_site_checks)}
+def site_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.site_reports(crawl.Crawl(silver(spark, sf_dir)))
+
+
+def crawl_work_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a crawl of the stored pages would still ask for."""
+    return work_lists.work_lists(silver(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies, site_results.streamed_site_checks, site_reports, crawl_work_lists)}
 
 SQL = {
     "site_checks": oracle_sql.SITE_CHECKS,
@@ -157,4 +166,6 @@ SQL = {
     "crawl_plan": oracle_sql.CRAWL_PLAN,
     "decoded_bodies": oracle_sql.DECODED_BODIES,
     "streamed_site_checks": oracle_sql.SITE_CHECKS,
+    "site_reports": oracle_sql.SITE_REPORTS,
+    "crawl_work_lists": oracle_sql.WORK_LISTS,
 }

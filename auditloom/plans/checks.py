@@ -153,13 +153,16 @@ def affected_pages(pages: DataFrame | Crawl, checks: list[Check] | None = None,
 
 
 def dimension(silver: DataFrame, checks: list[Check] | None = None) -> DataFrame:
-    rows = [(i, c.id, c.category, CATEGORIES[c.category], c.severity, SEVERITIES[c.severity], c.kind, c.cohort in ("true", "")) for i, c in enumerate(ALL_CHECKS if checks is None else checks)]
+    """A row of each check: those of the registry, and those of one's own among `checks`."""
+    known = {c.id for c in ALL_CHECKS}
+    every = [*ALL_CHECKS, *(c for c in checks or () if c.id not in known)]
+    rows = [(i, c.id, c.category, CATEGORIES[c.category], c.severity, SEVERITIES[c.severity], c.kind, c.cohort in ("true", "")) for i, c in enumerate(every)]
     return F.broadcast(silver.sparkSession.createDataFrame(rows, "check_no int, check_id string, category string, category_weight double, severity string, severity_weight int, kind string, always boolean"))
 
 
-def category_scores(results: DataFrame) -> DataFrame:
+def category_scores(results: DataFrame, checks: list[Check] | None = None) -> DataFrame:
     """site, category, score, passed, failed, na. Checks that are na don't count; a category without others is left out."""
-    met = results.join(dimension(results), "check_id")
+    met = results.join(dimension(results, checks), "check_id")
     counts = met.groupBy("site", "category", "category_weight").agg(
         F.sum(F.when(F.col("status") == "passed", F.col("severity_weight")).otherwise(0)).alias("won"),
         F.sum(F.when(F.col("status") != "na", F.col("severity_weight")).otherwise(0)).alias("most"),
@@ -178,34 +181,38 @@ def all_sites(scores: DataFrame, results: DataFrame) -> DataFrame:
     return results.select("site").distinct().join(scores, "site", "left").select("site", F.coalesce("score", F.lit(0)).alias("score"))
 
 
-def page_summary(pages: DataFrame | Crawl, checks: list[Check] | None = None) -> DataFrame:
-    """site, page_id, url, issues, critical: pages without issues are there too. Every failing page counts, not just those that a display lists."""
+def page_summary(pages: DataFrame | Crawl, checks: list[Check] | None = None, failing: DataFrame | None = None) -> DataFrame:
+    """site, page_id, url, issues, critical: pages without issues are there too. Every failing page counts, not just those that a display lists.
+    failing: rows of `affected`, if they are there already."""
     crawl = as_crawl(pages)
-    found = affected(crawl, checks).join(dimension(crawl.silver), "check_id").groupBy("site", "page_id", "url").agg(F.countDistinct("check_id").alias("issues"), F.countDistinct(F.when(F.col("severity") == "critical", F.col("check_id"))).alias("critical"))
+    found = (affected(crawl, checks) if failing is None else failing).join(dimension(crawl.silver, checks), "check_id").groupBy("site", "page_id", "url").agg(F.countDistinct("check_id").alias("issues"), F.countDistinct(F.when(F.col("severity") == "critical", F.col("check_id"))).alias("critical"))
     met = _ok(crawl.silver).select("site", "page_id", "url").join(found.select("site", F.col("page_id").alias("__id"), F.col("url").alias("__url"), "issues", "critical").withColumnRenamed("site", "__site"), F.col("site").eqNullSafe(F.col("__site")) & F.col("page_id").eqNullSafe(F.col("__id")) & F.col("url").eqNullSafe(F.col("__url")), "left")
     return met.select("site", "page_id", "url", F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("critical", F.lit(0)).alias("critical"))
 
 
-def action_plan(results: DataFrame, most: int = 12) -> DataFrame:
+def action_plan(results: DataFrame, most: int = 12, checks: list[Check] | None = None) -> DataFrame:
     """site, step, check_id: failed checks by severity, category weight, addresses that a report lists (one of a check of a whole site, MOST_AFFECTED at most), registry order."""
     listed = F.when(F.col("kind").isin("any", "site") & F.col("always"), 1).otherwise(F.least(F.col("n_bad"), F.lit(MOST_AFFECTED)))
     order = Window.partitionBy("site").orderBy(F.desc("severity_weight"), F.desc("category_weight"), listed.desc(), "check_no")
-    failed = results.where("status = 'failed'").join(dimension(results), "check_id")
+    failed = results.where("status = 'failed'").join(dimension(results, checks), "check_id")
     return failed.withColumn("step", F.row_number().over(order)).where(F.col("step") <= most).select("site", "step", "check_id", "category", "severity", "n_bad")
 
 
-def issues(results: DataFrame) -> DataFrame:
+def issues(results: DataFrame, checks: list[Check] | None = None) -> DataFrame:
     """site, check_id, category, severity, status, n_bad, by severity (position 0 to 2), then registry order: the rows of a report."""
-    met = results.join(dimension(results), "check_id")
+    met = results.join(dimension(results, checks), "check_id")
     place = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")).cast("int") - 1
     return met.select("site", "check_id", "category", "severity", "status", "n_bad", place.alias("severity_no"), "check_no")
 
 
-def stats(results: DataFrame) -> DataFrame:
-    """site, applicable, passed, failed, critical, important, advice (of the failed), check_count."""
-    met = results.join(dimension(results), "check_id")
+def stats(results: DataFrame, silver: DataFrame | None = None, checks: list[Check] | None = None) -> DataFrame:
+    """site, applicable, passed, failed, critical, important, advice (of the failed), check_count; with silver rows also pages (that open)."""
+    met = results.join(dimension(results, checks), "check_id")
     failed = F.col("status") == "failed"
-    return met.groupBy("site").agg(F.count_if(F.col("status") != "na").alias("applicable"), F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(failed).alias("failed"), *[F.count_if(failed & (F.col("severity") == s)).alias(s) for s in SEVERITIES], F.count("*").alias("check_count"))
+    found = met.groupBy("site").agg(F.count_if(F.col("status") != "na").alias("applicable"), F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(failed).alias("failed"), *[F.count_if(failed & (F.col("severity") == s)).alias(s) for s in SEVERITIES], F.count("*").alias("check_count"))
+    if silver is None:
+        return found
+    return found.join(_ok(silver).groupBy("site").agg(F.count("*").alias("pages")), "site", "left").fillna(0, ["pages"])
 
 
 def weakest_categories(categories: DataFrame, most: int = 3) -> DataFrame:

@@ -248,6 +248,36 @@ _AFFECTED = RESULTS.rstrip() + ", bad as (\n" + "\nunion all ".join(map(_bad, so
 AFFECTED_PAGES = _AFFECTED + "select site, check_id, page_id, url from bad"
 PAGE_SUMMARY = _AFFECTED + """select p.site, p.page_id, p.url, count(distinct check_id) as issues, count(distinct check_id) filter (severity = 'critical') as critical
 from p left join (select bad.*, severity from bad join dim using (check_id)) b on b.page_id = p.page_id group by p.site, p.page_id, p.url"""
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+SITE_REPORTS = _AFFECTED.rstrip() + f""",
+sc as (select site, coalesce(cast(floor(sum(score * category_weight) / sum(category_weight) + 0.5) as integer), 0) as score from (select distinct site from p) left join g using (site) group by site),
+st as (
+  select site, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'failed' and severity = 'critical') as critical,
+         count(*) filter (status = 'failed' and severity = 'important') as important, count(*) filter (status = 'failed' and severity = 'advice') as advice from r join dim using (check_id) group by site),
+np as (select site, count(*) as pages from p group by site),
+cats as (select g.*, place from g join (select category, min(check_no) as place from dim group by category) using (category)),
+wk as (select site, string_agg(category || ' (' || score || ')', ', ' order by k) as weakest from (select *, row_number() over (partition by site order by score, place) as k from cats) where k <= 3 group by site),
+cg as (select site, string_agg('<tr><td>' || category || '</td><td>' || score || '</td><td>' || passed || ' of ' || (passed + failed) || '</td></tr>', '' order by place) as t from cats group by site),
+pl as (
+  select site, string_agg('<li>' || check_id || '</li>', '' order by step) as t from (
+    select *, row_number() over (partition by site order by severity_weight desc, category_weight desc, listed desc, check_no) as step from r join dim using (check_id) where status = 'failed') where step <= 12 group by site),
+ls as (
+  select site, check_id, string_agg('<li>' || {_ESC.format('url')} || '</li>', '' order by k) filter (k <= 20) || case when count(*) > 20 then '<li>and ' || (count(*) - 20) || ' more</li>' else '' end as t
+  from (select *, row_number() over (partition by site, check_id order by page_id, url) as k from bad) group by site, check_id),
+sv as (
+  select site, severity, severity_weight, count(*) as n, string_agg('<h3>' || check_id || '</h3><p>' || category || '</p><ul>' || coalesce(ls.t, '') || '</ul>', '' order by check_no) as t
+  from r join dim using (check_id) left join ls using (site, check_id) where status = 'failed' group by site, severity, severity_weight),
+ck as (select site, string_agg('<h2>' || severity || ': ' || n || ' (' || cast(floor(100.0::double * n / failed + 0.5) as integer) || ' %)</h2>' || t, '' order by severity_weight desc) as t from sv join st using (site) group by site),
+pg as (
+  select p.site, p.page_id, p.url, count(distinct check_id) as issues, count(distinct check_id) filter (severity = 'critical') as critical
+  from p left join (select bad.*, severity from bad join dim using (check_id)) b on b.page_id = p.page_id group by p.site, p.page_id, p.url),
+pt as (
+  select site, string_agg('<tr><td>' || {_ESC.format('url')} || '</td><td>' || issues || '</td><td>' || critical || '</td></tr>', '' order by k) as t
+  from (select *, row_number() over (partition by site order by issues desc, critical desc, page_id, url) as k from pg) where k <= 200 group by site)
+select site, '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Audit of ' || {_ESC.format('site')} || '</title></head><body><h1>' || {_ESC.format('site')} || '</h1><p>The site scores ' || score || ' of 100.</p><p>'
+  || case when critical > 0 then 'Critical problems: ' || critical || '.' else 'No critical problems.' end || '</p><p>Important: ' || important || ', advice: ' || advice || '.</p>'
+  || coalesce('<p>Weakest: ' || weakest || '.</p>', '') || '<p>Pages checked: ' || pages || '.</p><table>' || coalesce(cg.t, '') || '</table><ol>' || coalesce(pl.t, '') || '</ol>' || coalesce(ck.t, '') || '<table>' || coalesce(pt.t, '') || '</table></body></html>' as html
+from sc join st using (site) join np using (site) left join wk using (site) left join cg using (site) left join pl using (site) left join ck using (site) left join pt using (site)"""
 URL_FUNCTIONS = r"""
 with u as (
   select page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) as host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '(\?[^#]+)', 1) as query, lower(regexp_extract(url, '^([^:]+):', 1)) as scheme from pages),
@@ -298,6 +328,13 @@ walk(site, url, place) using key (site, url) as (
   left join recurring.walk r on r.site = c.site and r.url = c.url where r.url is null or c.place < r.place),
 ranked as (select site, url, place, row_number() over (partition by site order by place, url) as "order" from walk)
 select site, "order", url, place.depth as depth, case when place.depth > 0 then 'link' when len(place.start) > 0 then 'sitemap' else 'home' end as via from ranked where "order" <= 20"""
+WORK_LISTS = PAGES + rf""", kp as (select site, page_id, links, {_KEYED} as url, regexp_extract(url, '^[^/]+://[^/?#]*', 0) as origin from p),
+hrefs as (select site, page_id, origin, unnest(range(len(links))) as pos, unnest(links).href as href from kp),
+targets as (
+  select site, {_KEYED.replace('url', 't')} as target, min(row(page_id, pos)) as place
+  from (select *, origin || regexp_replace(href, '#.*$', '') as t from hrefs where starts_with(href, '/') and not starts_with(href, '//')) group by 1, 2)
+select site, 'link' as kind, row_number() over (partition by site order by place, target) as "order", target as url from targets
+where not regexp_matches(target, {_FILE}) and not exists (select 1 from kp where kp.site = targets.site and kp.url = targets.target)"""
 DECODED_BODIES = f"""
 with t as (
   select page_id, ((page_id % 5) + 5) % 5 as way, translate(case when page_id % 5 = 2 then '<meta charset=''koi8-r''>' || regexp_replace(html, '(?i)<meta charset[^>]*>', '', 'g') else html end, '{ACCENTED}', '{CYRILLIC}') as text from pages),

@@ -10,8 +10,11 @@ site share the key, and passes without keys; `site` has a status expression over
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
+from pyspark.sql import DataFrame
+
 # Patterns and thresholds that results depend on.
 PLACEHOLDER_TITLE = r"(?iu)^(главная|главная страница|home|homepage|untitled|без названия|новая страница|document|page|index|welcome|my site|мой сайт|test|тест)$"
 GENERIC_DESCRIPTION = r"(?iu)(добро пожаловать|welcome to|just another|описание сайта|описание страницы|lorem ipsum|официальный сайт\.?$)"
@@ -211,3 +214,26 @@ def checks_for(*tables: str) -> list[Check]:
 #: Category and severity weights.
 CATEGORIES = {"technical": 20.0, "meta": 20.0, "indexing": 15.0, "ai": 7.5, "content": 7.5, "structure": 7.5, "markup": 7.5, "mobile": 7.5, "trust": 7.5}
 SEVERITIES = {"critical": 5, "important": 3, "advice": 1}
+
+
+def own_check(silver: DataFrame, id: str, category: str, severity: str, test: str, kind: str = "page", cohort: str = "true") -> Check:
+    """A check of one's own, for run_checks and the like beside those of checks_for. kind: page, home, any or group; `test` and `cohort` are expressions over
+    silver rows (bad for page and home, good for any, the key for group).
+
+    What can be told at once is told at once: a known category and severity, an id that is still free, expressions that the silver table can
+    answer, of the right type. A test that can't be worked out for a row takes that row out of its cohort and no other check with it:
+    casts and functions that would raise give null instead (see tried(); of operators, write try_divide(a, b) for a / b)."""
+    if category not in CATEGORIES or severity not in SEVERITIES or kind not in ("page", "home", "any", "group"):
+        raise ValueError(f"unknown category, severity or kind: {category}, {severity}, {kind}")
+    if not re.fullmatch("[a-z0-9]+(-[a-z0-9]+)*", id) or id in {c.id for c in (*PAGE_CHECKS, *CRAWL_CHECKS)}:
+        raise ValueError(f"not a free id: {id}")
+    for expression, kinds in ((cohort, ("boolean",)), (test, ("string",) if kind == "group" else ("boolean",))):
+        found = silver.selectExpr(f"({expression}) as x").dtypes[0][1]  # an AnalysisException names what silver lacks
+        if found not in kinds:
+            raise ValueError(f"{id}: {expression} is {found}, not {kinds[0]}")
+    return Check(id, category, severity, kind, f"({tried(cohort)}) and ({tried(test)}) is not null", tried(test))
+
+
+def tried(expression: str) -> str:
+    """The expression with casts and divisions that give null where they would raise."""
+    return re.sub(r"\bcast\s*\(", "try_cast(", re.sub(r"\b(to_number|to_timestamp|to_date|element_at|url_decode|parse_json|divide|add|subtract|multiply)\s*\(", r"try_\1(", expression, flags=re.I), flags=re.I)

@@ -40,7 +40,7 @@ SILVER = _struct(
     links=T.ArrayType(_struct(href=_S, abs=_S, text=_S, rel=_S, internal=_B, aria_label=_S, has_img_alt=_B, in_nav=_B, target=_S)),
     images=T.ArrayType(_struct(src=_S, abs=_S, alt=_S, width=_S, height=_S, srcset=_S, in_picture=_B, has_aspect_ratio=_B)),
     forms=T.ArrayType(_struct(is_search=_B, personal_fields=_I, unlabeled_fields=_I, consent_checkbox=_B, consent_prechecked=_B, consent_text=_B, spam_protected=_B)),
-    text=_S, top_text=_S, words=_I, styles=_S, scripts=T.ArrayType(_S), inline_chars=_I, has_main=_B, has_breadcrumbs=_B, has_icon=_B, nav_present=_B,
+    text=_S, top_text=_S, words=_I, styles=_S, scripts=T.ArrayType(_S), stylesheets=T.ArrayType(_S), inline_chars=_I, has_main=_B, has_breadcrumbs=_B, has_icon=_B, nav_present=_B,
     nav_anchors=_I, nav_fake=_I, lists_3plus=_I, n_tables=_I, n_dl=_I, n_details=_I, n_flash=_I, has_apple_icon=_B, has_theme_color=_B, bare_table=_B,
     unnamed_buttons=_I, autoplay_sound=_B, has_referrer=_B, canonical_abs=T.ArrayType(_S), max_fixed_width=_I, tiny_font=_B, fluid_images=_B, parse_failed=_B,
 )
@@ -291,6 +291,7 @@ def parse(page: str | None, url: str | None) -> dict:
         "jsonld": jsonld, "links": links, "images": images, "forms": [_form(f, labels) for f in of("form")], "text": text,
         "top_text": collapse(content.text(unseen | {"header", "nav", "footer"}))[:1500], "words": sum(bool(re.search(r"[^\W_]", w)) for w in text.split(" ")),
         "styles": styles, **css_facts(styles), "parse_failed": failed,
+        "stylesheets": [s for x, r in rels if "stylesheet" in r and "href" in x.attrs and (s := absolute(x.attrs["href"], url))],
         "scripts": [s for x in of("script") if x.attrs.get("src") and (s := absolute(x.attrs["src"], url))], "inline_chars": sum(len(x.text()) for x in of("script") if "src" not in x.attrs),
         "has_main": has_main, "has_breadcrumbs": any("breadcrumb" in f"{x.attrs.get('class', '')} {x.attrs.get('aria-label', '')}".lower() or "crumbs" in x.attrs.get("class", "").lower() or "BreadcrumbList" in x.attrs.get("itemtype", "") for x in every) or any("BreadcrumbList" in b["types"] for b in jsonld),
         "has_icon": any("icon" in r for _, r in rels), "nav_present": bool(navs), "nav_anchors": sum(x.tag == "a" and "href" in x.attrs and not re.match("#|javascript:", x.attrs["href"], re.I) for x in in_nav),
