@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import urls
-from auditloom.operators import keywords
+from auditloom.operators import keywords, patches
 from auditloom.plans import checks, crawl, documents, frontier, oracle_sql, redirects, work_lists
 from auditloom.sources import charset, sitemaps
 from auditloom.sources.html import located, parse_pages
@@ -144,7 +144,7 @@ def crawl_work_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work_lists.work_lists(silver(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies, site_results.streamed_site_checks, site_reports, crawl_work_lists)}
+QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies, site_results.streamed_site_checks, site_reports, crawl_work_lists, patches.merged_documents)}
 
 SQL = {
     "site_checks": oracle_sql.SITE_CHECKS,
@@ -168,4 +168,5 @@ SQL = {
     "streamed_site_checks": oracle_sql.SITE_CHECKS,
     "site_reports": oracle_sql.SITE_REPORTS,
     "crawl_work_lists": oracle_sql.WORK_LISTS,
+    "merged_documents": patches.MERGED_SQL,
 }
