@@ -58,6 +58,42 @@ def normalize_input_url(raw: Column) -> Column:
     return normalize(raw)
 
 
+def without_dots(path: Column) -> Column:
+    """A path from / on without . and .. segments, escaped ones included; what .. leaves ends in /."""
+    dot, up = (lambda x: F.lower(x).isin(".", "%2e")), (lambda x: F.lower(x).isin("..", ".%2e", "%2e.", "%2e%2e"))
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda acc, x: F.when(up(x), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(dot(x), acc).otherwise(F.concat(acc, F.array(x))))
+    last = F.element_at(parts, -1)
+    plain = F.concat(F.lit("/"), F.array_join(F.when(dot(last) | up(last), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+    # most paths have no such segment
+    return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), plain).otherwise(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """The http(s) address of a reference on a page at `base`, without its fragment, as browsers read it; null of others.
+
+    Tabs and line ends within and blanks around go; backslashes before a query are slashes; the host is lower-cased, its default port
+    dropped; . and .. segments are worked out, escaped ones too. Letters beyond ASCII and other escapes stay as they are. The
+    same as auditloom.sources.html.absolute. Null of a null."""
+    h = F.regexp_replace(F.regexp_replace(F.regexp_replace(href, "[\t\n\r]", ""), "^[\x00-\x20]+|[\x00-\x20]+$", ""), "(?s)#.*$", "")
+    head = F.translate(F.regexp_extract(h, r"(?s)^([^?]*)", 1), "\\", "/")
+    query = F.regexp_extract(h, r"(?s)(\?.*)$", 1)
+    scheme_of, authority_of = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.regexp_extract(base, r"://([^/?#]*)", 1)
+    path_of, query_of = F.regexp_extract(base, r"://[^/?#]*([^?#]*)", 1), F.regexp_extract(base, r"(\?[^#]*)", 1)
+    own = F.lower(F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    rest = F.regexp_replace(head, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    with_host = rest.startswith("//") | ((own != "") & (own != scheme_of))
+    behind = F.regexp_replace(rest, "^/+", "")
+    scheme = F.when(own != "", own).otherwise(scheme_of)
+    authority = F.lower(F.when(with_host, F.regexp_extract(behind, "^([^/]*)", 1)).otherwise(authority_of))
+    authority = F.regexp_replace(authority, F.when(scheme == "http", ":(80)?$").otherwise(":(443)?$"), F.lit(""))
+    path = F.when(with_host, F.regexp_replace(behind, "^[^/]*", "")).when(rest == "", path_of).when(rest.startswith("/"), rest).otherwise(F.concat(F.regexp_replace(path_of, "[^/]*$", ""), rest))
+    asked = F.when(~with_host & (rest == "") & (query == ""), query_of).otherwise(query)
+    found = F.concat(scheme, F.lit("://"), authority, without_dots(path), asked)
+    return F.when(scheme.isin("http", "https") & (F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1) != ""), found)
+
+
 def is_private_ip(ip: Column) -> Column:
     """Whether an address is of a loopback, private, link-local, shared or reserved range; of an IPv4 address mapped into IPv6, that address counts."""
     v = F.regexp_replace(F.lower(ip), r"^::ffff:(?=[0-9.]+$)", "")

@@ -7,22 +7,15 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.urls import resolve
 from auditloom.tables import removed, written
 
 MAX_HOPS = 8
 
 
 def resolved(location: Column, base: Column) -> Column:
-    """A Location header against the address that sent it; dots in paths stay."""
-    origin = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), r"[^/]*$", "")
-    return (
-        F.when(location.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), location)
-        .when(location.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)", 1), location))
-        .when(location.startswith("/"), F.concat(origin, location))
-        .when(location.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), location))
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), location))
-    )
+    """A Location header against the address that sent it; one of another scheme stays as it is."""
+    return F.coalesce(resolve(location, base), location)
 
 
 def redirect_chains(responses: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:

@@ -12,7 +12,7 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit, urlunsplit
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,14 +114,39 @@ def collapse(s: str) -> str:
     return WS.sub(" ", s).strip()
 
 
+_DOT, _UP = re.compile(r"(?i)^(\.|%2e)$"), re.compile(r"(?i)^(\.|%2e){2}$")
+
+
 def absolute(href: str, base: str) -> str | None:
-    try:
-        u = urlsplit(urljoin(base, href.strip()))
-        if u.scheme not in ("http", "https") or not u.hostname:
-            return None
-        return urlunsplit((u.scheme, u.netloc.lower(), u.path or "/", u.query, ""))
-    except ValueError:
+    """The http(s) address of a reference, without its fragment; the same as functions.urls.resolve."""
+    href = re.sub(r"[\t\n\r]", "", href).strip("".join(map(chr, range(33)))).partition("#")[0]
+    head, mark, query = href.partition("?")
+    head = head.replace("\\", "/")
+    of = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*)([^?#]*)(\?[^#]*)?)?", base)
+    scheme_of, authority_of, path_of, query_of = (of[1].lower(), of[2] or "", of[3] or "", of[4] or "") if of else ("", "", "", "")
+    own = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", head)
+    rest = head[own.end() :] if own else head
+    scheme = own[1].lower() if own else scheme_of
+    with_host = rest.startswith("//") or bool(own) and scheme != scheme_of
+    authority, path = authority_of, path_of
+    if with_host:
+        authority, slash, path = rest.lstrip("/").partition("/")
+        path = slash + path
+    elif rest:
+        path = rest if rest.startswith("/") else path_of[: path_of.rfind("/") + 1] + rest
+    authority = re.sub(":(80)?$" if scheme == "http" else ":(443)?$", "", authority.lower())
+    if scheme not in ("http", "https") or not re.match(r"(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", authority)[1]:
         return None
+    parts, kept = path.removeprefix("/").split("/"), []
+    for x in parts:
+        if _UP.match(x):
+            del kept[-1:]
+        elif not _DOT.match(x):
+            kept.append(x)
+    if _UP.match(parts[-1]) or _DOT.match(parts[-1]):
+        kept.append("")
+    asked = mark + query if with_host or rest or mark else query_of
+    return f"{scheme}://{authority}/{'/'.join(kept)}{asked}"
 
 
 def site_of(url: str) -> str:
