@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: a cut in the lineage that a lost executor can't take away."""
-    return _written(df, shared_dir(df.sparkSession))
+    path = shared_dir(df.sparkSession)
+    for paths in _RECORDS:
+        paths.append(path)
+    return _written(df, path)
+
+
+_RECORDS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables that `written` and Scratch make meanwhile."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
+def swept(docs: DataFrame, paths: list[str]) -> list[str]:
+    """Deletes those of the folders that docs doesn't read; the others. Of a cached table it can't be told, so all stay."""
+    if docs.storageLevel.useMemory or docs.storageLevel.useDisk:
+        return paths
+    files = docs.inputFiles()
+    kept = [p for p in paths if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+    context = docs.sparkSession.sparkContext
+    for path in set(paths) - set(kept):
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    return kept
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -44,6 +75,8 @@ class Scratch:
 
     def written(self, df: DataFrame) -> DataFrame:
         path = shared_dir(self.spark)
+        for paths in _RECORDS:
+            paths.append(path)
         out = _written(df, path)
         self.held.append((out, path))
         return out

@@ -113,6 +113,8 @@ def without_repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "
     gone = again.select("doc_id", "copy", F.explode(F.sequence("first", "last")).alias("i")).groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_set("i").alias("__gone"))
     gone = scratch.written(gone)
     scratch.drop(windows)
+    # one plan at all sizes: texts are dealt out once, whether what goes from them is little or much
+    gone = gone.hint("merge")
     met = df.join(gone, (df[doc_id] == gone["__id"]) & (F.xxhash64(df[text]) == gone["__copy"]), "left")
     # a generator, so that a text is split once, not for each of its lines
     split = met.withColumn("__lines", F.explode_outer(F.array(F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n", -1)))))
