@@ -7,13 +7,29 @@ texts set n_chars, if the table has it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import byte_bpe, decontaminate, language_id, line_dedup, ngram_join
-from auditloom.llm.common import table, written
+from auditloom.llm.common import recorded, swept, table, written
+
+#: Folders of tables that earlier stages have written. What a stage's docs don't read goes as it begins: they are written and read again.
+_LEFT: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _LEFT[:] = swept(docs, _LEFT)
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        _LEFT.extend(paths)
+        return out
+
+    return run_stage
 
 
 #: Columns that the operators add on their way; a table's own columns of these names are set aside meanwhile.
@@ -29,26 +45,31 @@ def _counted(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else df
 
 
+@_tidy
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model doesn't reject: null texts and texts without a letter go. Rows and columns stay as they are."""
     return _set_aside(docs, lambda d: language_id.identify(d, language_id.corpus_model(d)).where(~F.col("rejected")))
 
 
+@_tidy
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages and chunks of lines that stand earlier; documents that lose every line go. Null texts and rows with a null doc_id lose nothing."""
     return _counted(_set_aside(docs, lambda d: line_dedup.without_repeated_lines(written(line_dedup.without_repeated_passages(d)))))
 
 
+@_tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest id. Empty and null texts link with nothing; of rows that share an id one stays; rows with a null id stay."""
     return ngram_join.near_duplicates_removed(docs)
 
 
+@_tidy
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages; documents that are mostly such passages go. Null and empty texts stay."""
     return _counted(_set_aside(docs, lambda d: decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"))))
 
 
+@_tidy
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of its text and their digests. Null and empty texts have no ids."""
     import public_tokenizers
@@ -75,5 +96,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs)
+            with recorded() as paths:
+                docs = written(docs)
+            _LEFT.extend(paths)
     return docs
