@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 #: Turns of a container, beyond which it bursts.
-CONTAINER = 50_000
+CONTAINER = 2_000
 #: Ids of a chunk of a digest.
 CHUNK = 16_384
 HEADS, SHARED = 9, 5
