@@ -5,13 +5,18 @@ at the same places in the items. A text streams through it word by word; the sta
 match that ends at the word are all that is kept. A match of at least `window` words, or the whole of a shorter
 item, is an occurrence. Stretches of words that no item has reset the automaton, so they are skipped at once.
 
-Items are read by the driver in shards of at most SHARD_WORDS words, so one automaton is of bounded size whatever
-the benchmark's; texts stream through the automatons one after another and their hits are united.
+Items are cut into pieces that overlap by a window less one word, so that each window lies whole in one; equal pieces
+are one, with the ids of all their items. Tasks build an automaton of each shard of at most SHARD_WORDS words and ids,
+and write it. Of one shard it is known how large it can get (two states a word), so it is broadcast; a benchmark of more
+takes as many passes over the texts as it has shards, each of which adds its hits to a written table of the rows.
+A benchmark of one shard takes one pass and writes no texts.
 Null and empty texts have no words and no hits; an item without words occurs nowhere; a null item_id reads "null".
+Repeated items count once, and items of one text under several ids each count.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -19,13 +24,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import Scratch, small_batches, table
 
 WINDOW = 10
-SHARD_WORDS = 500_000
+#: Words, and ids of items, in one automaton at most: about 140 MB of a Python worker.
+SHARD_WORDS = 200_000
+#: Windows that start in a piece of an item, and about as many ids of one piece that stay together, at most.
+PIECE_WORDS, NAMES = 5_000, 20_000
 #: Share of a document's words in hits above which the whole document goes.
 MAX_COVERAGE = 0.5
 
@@ -41,19 +49,20 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Of all items together. `length` is that of a state's longest string, `link` the state of its longest suffix of another class."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[list[str], list[bytes]]], window: int):
         self.window = window
+        self.names = [names for names, words in items if words]
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        coded = [(name, [self.ids.setdefault(w, len(self.ids)) for w in words]) for name, words in items if words]
+        coded = list(enumerate([self.ids.setdefault(w, len(self.ids)) for w in words] for _, words in items if words))
         for _, codes in coded:
             last = 0
             for c in codes:
                 last = self._extend(last, c)
-        #: By state: the items with a whole window, and (length, item) of short items, that end there.
-        self.windows: dict[int, set[str]] = {}
-        short: dict[int, set[tuple[int, str]]] = {}
+        #: By state: the items (places in names) with a whole window, and (length, item) of short items, that end there.
+        self.windows: dict[int, set[int]] = {}
+        short: dict[int, set[tuple[int, int]]] = {}
         for name, codes in coded:
             state = 0
             for i, c in enumerate(codes):
@@ -64,7 +73,7 @@ class SuffixAutomaton:
                 while self.length[self.link[state]] >= len(codes):
                     state = self.link[state]
                 short.setdefault(state, set()).add((len(codes), name))
-        self.short: dict[int, set[tuple[int, str]]] = {}
+        self.short: dict[int, set[tuple[int, int]]] = {}
         if short:  # a state has what the states of its suffixes have
             for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
                 if own := short.get(state, set()) | self.short.get(self.link[state], set()):
@@ -117,7 +126,7 @@ class SuffixAutomaton:
         else:
             runs = iter([(0, len(codes))])
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[int] = set()
         nxt, link, length, window, short = self.next, self.link, self.length, self.window, self.short
         for start, end in runs:
             state = matched = 0
@@ -141,7 +150,7 @@ class SuffixAutomaton:
                     while spans and spans[-1][1] >= a:
                         a = min(a, spans.pop()[0])
                     spans.append((a, i + 1))
-        return spans, found
+        return spans, set(chain.from_iterable(self.names[k] for k in found))
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,54 +163,96 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automatons(benchmark: DataFrame, item_id: str, text: str, window: int) -> list[Broadcast]:
-    """One for each shard of the items. The driver holds one shard's texts at a time."""
-    spark = benchmark.sparkSession
-    shards: list[Broadcast] = []
-    items, size = [], 0
-    for row in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(text)).toLocalIterator():
-        items.append((row[0], words_of(row[1])))
-        size += len(items[-1][1])
-        if size >= SHARD_WORDS:
-            shards.append(spark.sparkContext.broadcast(SuffixAutomaton(items, window)))
-            items, size = [], 0
-    if items or not shards:
-        shards.append(spark.sparkContext.broadcast(SuffixAutomaton(items, window)))
-    return shards
-
+def _pieces(benchmark: DataFrame, item_id: str, text: str, window: int, piece_words: int) -> DataFrame:
+    """item, words, n: the pieces of the items' words, each with the window - 1 words that follow; an item of fewer words than a window is one piece."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, value in zip(batch.column(0), batch.column(1), strict=True):
+                words = words_of(value.as_py())
+                for at in range(0, max(1, len(words) - window + 1), piece_words) if words else ():
+                    part = words[at : at + piece_words + window - 1]
+                    rows.append({"item": item.as_py(), "words": b" ".join(part), "n": len(part)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.string()), ("words", pa.binary()), ("n", pa.int64())]))
+
+    named = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
+    return small_batches(named).mapInArrow(cut, "item string, words binary, n long")
+
+
+def automatons(scratch: Scratch, benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int, piece_words: int) -> DataFrame:
+    """shard, automaton (pickled): a written table, each row of which one task has built. Empty if no item has words."""
+    pieces = scratch.written(_pieces(benchmark, item_id, text, window, piece_words))
+    salt = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-pieces.count() // NAMES))))
+    classes = scratch.written(pieces.groupBy("words", "n", salt.alias("salt")).agg(F.array_sort(F.collect_set("item")).alias("names")))
+    weight = F.sum(F.col("n") + F.size("names"))
+    sizes = classes.agg(F.count("*").alias("n"), F.coalesce(weight, F.lit(0)).alias("all")).first()
+    shard = lambda n: F.pmod(F.xxhash64("words", "salt"), F.lit(n)).alias("shard")
+    shards = 1 if sizes["all"] <= shard_words else -(-2 * sizes["all"] // shard_words)
+    while 1 < shards < 4 * sizes["n"] and classes.groupBy(shard(shards)).agg(weight.alias("w")).agg(F.max("w")).first()[0] > shard_words:
+        shards *= 2
+
+    def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        items = sorted((r["words"], r["names"]) for r in rows.to_pylist())
+        built = SuffixAutomaton([(names, words.split(b" ")) for words, names in items], window)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "automaton": pa.array([pickle.dumps(built, pickle.HIGHEST_PROTOCOL)], pa.binary())})
+
+    dealt = classes.select(shard(shards).cast("long").alias("shard"), "words", "names")
+    out = scratch.written(dealt.groupBy("shard").applyInArrow(build, "shard long, automaton binary"))
+    scratch.drop(pieces, classes)
+    return out
 
-def find_benchmark_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Adds n_words, n_hit (words in occurrences), items (ids that occur, sorted as strings) and clean_text (null if nothing was cut).
 
-    clean_text lacks each hit span from its first word to the next word that stays. Such columns of df are replaced.
-    """
-    shards = automatons(benchmark, item_id, item_text, window)
+def _passages(held: Broadcast, last: bool, text: Column, spans: Column) -> Column:
+    """STRUCT n_words, n_hit, items, clean_text, spans (flat): the hits of one automaton, united with the spans of those before. The last one cuts."""
 
-    def scan(texts: pa.Array) -> Iterator[dict]:
-        for value in texts:
-            value = value.as_py()
+    def scan(texts: pa.Array, before: pa.Array) -> Iterator[dict]:
+        for value, old in zip(texts, before, strict=True):
+            value, old = value.as_py(), old.as_py() or []
             words = words_of(value)
-            each = [s.value.hits(words) for s in shards]
-            spans = _united(list(chain.from_iterable(e[0] for e in each)))
+            found, items = held.value.hits(words)
+            united = _united([*found, *zip(old[::2], old[1::2], strict=True)])
             clean = None
-            if spans:
+            if united and last:
                 raw = value.encode()
                 at = [m.start() for m in _WORD.finditer(raw.translate(_NORMAL))] + [len(raw)]
                 kept, done = [], 0
-                for a, b in spans:
+                for a, b in united:
                     kept.append(raw[done : at[a]])
                     done = at[b]
                 clean = b"".join([*kept, raw[done:]]).decode()
-            yield {"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(set().union(*(e[1] for e in each))), "clean_text": clean}
+            yield {"n_words": len(words), "n_hit": sum(b - a for a, b in united), "items": sorted(items), "clean_text": clean, "spans": list(chain.from_iterable(united))}
+
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("clean_text", pa.string()), ("spans", pa.list_(pa.int32()))])
 
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("clean_text", pa.string())])
+    @F.arrow_udf("n_words long, n_hit long, items array<string>, clean_text string, spans array<int>")
+    def passages(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return pa.array(list(scan(texts, before)), kind)
 
-    @F.arrow_udf("n_words long, n_hit long, items array<string>, clean_text string")
-    def passages(texts: pa.Array) -> pa.Array:
-        return pa.array(list(scan(texts)), kind)
+    return passages(text, spans)
 
-    found = "__passages"
-    return small_batches(df).withColumn(found, passages(F.col(text))).withColumns({x: F.col(found)[x] for x in ("n_words", "n_hit", "items", "clean_text")}).drop(found)
+
+def find_benchmark_passages(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """Adds n_words, n_hit (words in occurrences), items (ids that occur, sorted as strings) and clean_text (null if nothing was cut).
+
+    clean_text lacks each hit span from its first word to the next word that stays. Such columns of df are replaced.
+    """
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
+    built = automatons(scratch, benchmark, item_id, item_text, window, shard_words, piece_words)
+    shards = sorted(r["shard"] for r in built.select("shard").collect()) or [None]
+    found, spans, items = "__passages", "__spans", "__items"
+    rows = small_batches(df).withColumns({spans: F.lit(None).cast("array<int>"), items: F.array().cast("array<string>")})
+    for shard in shards:
+        one = SuffixAutomaton([], window) if shard is None else pickle.loads(built.where(F.col("shard") == shard).first()["automaton"])
+        last = shard == shards[-1]
+        passages = _passages(spark.sparkContext.broadcast(one), last, F.col(text), F.col(spans))
+        met = rows.withColumn(found, passages).withColumns({spans: F.col(found)["spans"], items: F.array_sort(F.array_union(items, F.col(found)["items"]))})
+        if last:
+            scratch.keep(rows)
+            return met.withColumns({"items": F.col(items)} | {x: F.col(found)[x] for x in ("n_words", "n_hit", "clean_text")}).drop(found, spans, items)
+        before, rows = rows, scratch.written(met.drop(found))
+        scratch.drop(before)
+    raise AssertionError("there is a last shard")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, **how) -> DataFrame:
