@@ -60,6 +60,18 @@ def near_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.near_duplicates(silver(spark, sf_dir))
 
 
+def near_duplicate_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicate_pages of the given pages beside editions of each: one with a line added, one in which common words are others, and of every fifth an exact copy."""
+    pages = table(spark, sf_dir, "pages")
+    address = F.regexp_replace("url", "#.*$", "")
+    edition = lambda k, html, which: pages.where(which).select((F.col("page_id") * 4 + k).alias("page_id"), F.concat(address, F.when(F.contains(address, F.lit("?")), "&").otherwise("?"), F.lit(f"edition={k}")).alias("url"), html.alias("html"))
+    line = F.replace("html", F.lit("</article>"), F.lit("<p>This is an edition for printing</p></article>"))
+    words = F.regexp_replace("html", " (of|the|de|und|la) ", " by ")
+    own = pages.select((F.col("page_id") * 4).alias("page_id"), "url", "html")
+    editions = own.unionByName(edition(1, line, "true")).unionByName(edition(2, words, "page_id % 2 = 0")).unionByName(edition(3, F.col("html"), "page_id % 5 = 0"))
+    return crawl.near_duplicates(written(parse_pages(editions)))
+
+
 def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", urls.short_url(url).alias("short"), urls.shortened(url).alias("shortened"), urls.is_file(url).alias("is_file"), urls.normalize_input_url(url)["url"].alias("root"))
@@ -144,7 +156,7 @@ def crawl_work_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work_lists.work_lists(silver(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies, site_results.streamed_site_checks, site_reports, crawl_work_lists, patches.merged_documents)}
+QUERIES = {f.__name__: f for f in (site_checks, category_scores, site_scores, action_plan, page_summary, page_facts, affected_pages, site_stats, weakest_categories, link_edges, near_duplicate_pages, near_duplicate_editions, url_functions, reachable_pages, site_keywords, ratelimit.rate_limiter, sitemap_urls, crawl_plan, decoded_bodies, site_results.streamed_site_checks, site_reports, crawl_work_lists, patches.merged_documents)}
 
 SQL = {
     "site_checks": oracle_sql.SITE_CHECKS,
@@ -156,6 +168,7 @@ SQL = {
     "weakest_categories": oracle_sql.WEAKEST,
     "link_edges": oracle_sql.LINK_EDGES,
     "near_duplicate_pages": oracle_sql.NEAR_DUPLICATES,
+    "near_duplicate_editions": oracle_sql.NEAR_DUPLICATE_EDITIONS,
     "affected_pages": oracle_sql.AFFECTED_PAGES,
     "page_summary": oracle_sql.PAGE_SUMMARY,
     "url_functions": oracle_sql.URL_FUNCTIONS,

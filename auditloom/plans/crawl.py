@@ -68,8 +68,11 @@ def linked_pages(silver: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(silver: DataFrame, body_chars: int | None = None) -> DataFrame:
     """site, url of the pages of MIN_WORDS words or more whose 5-word shingles are over 90 % alike to another page's of the site.
 
-    Equal sets are one class. Classes meet by a prefix of their rarest shingles: first each class the first class of a
-    shingle, then those that found none all classes of their shingles. Of the body, body_chars characters count (the whole by default)."""
+    Equal sets are one class. Classes meet by a prefix of their rarest shingles, in bands of set sizes of which only neighbours can be alike.
+    First each class meets the first and the last class of a shingle and band, which takes as many pairs as there are prefixes' shingles. Only
+    those that found none meet all classes of their shingles and bands, as far as the shingles that still follow in both sets can make them alike.
+    Of the body, body_chars characters count (the whole by default). Null texts have no words; repeated rows count once. Pages of one address whose texts differ
+    are classes of their own and never each other's partner."""
     text = F.concat_ws(" ", "top_text", "text" if body_chars is None else F.left("text", F.lit(body_chars)))
     words = F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda w: w != "")
     rows = silver.where(f"words >= {MIN_WORDS} and coalesce(status, 200) = 200" if "status" in silver.columns else f"words >= {MIN_WORDS}").select("site", "url", F.explode(F.array(words)).alias("w"))
@@ -81,20 +84,27 @@ def near_duplicates(silver: DataFrame, body_chars: int | None = None) -> DataFra
     shared = tokens.groupBy("site", "token").agg(F.count("*").alias("df")).where("df > 1")
     found = tokens.join(shared, ["site", "token"]).groupBy("site", "url", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
     least = F.floor(F.col("n") * LIKENESS / 100) + 1  # shingles in common, at least
-    members = written(found.where(F.size("found") >= least).select("site", "url", "n", F.explode(F.slice("found", F.lit(1), (F.size("found") - least + 1).cast("int"))).alias("f")).select("site", "url", "n", "f.token"))
-    heads = members.groupBy("site", "token").agg(F.min("url").alias("other"))
+    prefix = F.posexplode(F.slice("found", F.lit(1), (F.size("found") - least + 1).cast("int"))).alias("pos", "f")
+    reached = found.where(F.size("found") >= least).select("site", "url", "n", F.size("found").alias("k"), prefix)
+    band = F.floor(F.log("n") / F.log(F.lit(100 / LIKENESS))).alias("band")  # sizes of sets that are alike differ by less than a band
+    members = written(reached.select("site", "url", "n", "f.token", (F.col("k") - F.col("pos")).alias("left"), band))
+    heads = members.groupBy("site", "token", "band").agg(F.array_distinct(F.array(F.min("url"), F.max("url"))).alias("heads"))
+    heads = heads.select("site", "token", "band", F.explode("heads").alias("other"))
     own = classes.select("site", "url", "set")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        met = pairs.distinct().join(own, ["site", "url"]).join(own.select("site", F.col("url").alias("other"), F.col("set").alias("others")), ["site", "other"])
+        ordered = pairs.select("site", F.least("url", "other").alias("url"), F.greatest("url", "other").alias("other"))
+        met = ordered.distinct().join(own, ["site", "url"]).join(own.select("site", F.col("url").alias("other"), F.col("set").alias("others")), ["site", "other"])
         both = F.size(F.array_intersect("set", "others"))
         return met.where(100 * both > LIKENESS * (F.size("set") + F.size("others") - both)).select("site", F.explode(F.array("url", "other")).alias("url")).distinct()
 
-    first = written(alike(members.join(heads, ["site", "token"]).where("url != other").select("site", "url", "other")))
-    rest = members.join(first, ["site", "url"], "left_anti").select("site", "url", "n", "token")
-    others = members.select("site", "token", F.col("url").alias("other"), F.col("n").alias("m"))
-    fits = f"url != other and 100 * least(n, m) > {LIKENESS} * greatest(n, m)"
-    second = alike(rest.join(others, ["site", "token"]).where(fits).select("site", "url", "other"))
+    near_bands = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")
+    asking = members.select("site", "url", "token", "n", "left", near_bands)
+    first = written(alike(asking.join(heads, ["site", "token", "band"]).where("url != other").select("site", "url", "other")))
+    rest = asking.join(first, ["site", "url"], "left_anti")
+    others = members.select("site", "token", "band", F.col("url").alias("other"), F.col("n").alias("m"), F.col("left").alias("others_left"))
+    fits = f"url != other and 100 * least(n, m) > {LIKENESS} * greatest(n, m) and {100 + LIKENESS} * least(left, others_left) > {LIKENESS} * (n + m)"
+    second = alike(rest.join(others, ["site", "token", "band"]).where(fits).select("site", "url", "other"))
     classes_hit = first.unionByName(second).unionByName(classes.where("pages > 1").select("site", "url")).distinct()
     return sets.join(classes.join(classes_hit, ["site", "url"]).select("site", "sig", "set"), ["site", "sig", "set"]).select("site", "url").distinct()
 

@@ -15,6 +15,11 @@ def _content(tag: str) -> str:
 
 
 _GONE = "script|style|noscript|svg|template|iframe"
+_READ = f"regexp_replace(regexp_replace(html, '(?is)<({_GONE})[^>]*>.*?</({_GONE})>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+_TOP = _READ  # the text at the top of a page lacks these parts of it
+for _part in ("header", "nav", "footer"):
+    _TOP = rf"regexp_replace({_TOP}, '(?is)<{_part}\b[^>]*>.*?</{_part}>', '', 'g')"
+_BODY = "regexp_replace(regexp_replace({}, '(?s)^.*?<body[^>]*>', ''), '(?s)<[^>]*>', '', 'g')"
 PAGES = rf"""
 with recursive raw as (
   select page_id, regexp_replace(url, '#.*$', '') as url, coalesce(html, '') as html from pages),
@@ -22,11 +27,11 @@ cut as (
   select *, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') as site, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path,
          regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as t0, regexp_extract_all(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1>', 1) as h0,
          regexp_replace(html, '(?is)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'g') as seen,
-         regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<({_GONE})[^>]*>.*?</({_GONE})>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)^.*?<body[^>]*>', ''), '(?s)<[^>]*>', '', 'g') as b0
+         {_BODY.format(_READ)} as b0, {_BODY.format(_TOP)} as b1
   from raw),
 p0 as (
   select page_id, url, html, seen, site, path, len(list_filter(string_split(path, '/'), lambda s: s <> '')) as depth,
-         nullif(trim({{t0}}), '') as title, list_transform(h0, lambda h: trim(regexp_replace(regexp_replace({{h}}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) as h1, trim(regexp_replace({{b0}}, '\s+', ' ', 'g')) as text,
+         nullif(trim({{t0}}), '') as title, list_transform(h0, lambda h: trim(regexp_replace(regexp_replace({{h}}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) as h1, trim(regexp_replace({{b0}}, '\s+', ' ', 'g')) as text, left(trim(regexp_replace({{b1}}, '\s+', ' ', 'g')), 1500) as top_text,
          {_tag('meta', 'description')} as m_description, {_tag('meta', 'keywords')} as m_keywords, {_tag('meta', 'viewport')} as m_viewport,
          regexp_extract_all(seen, '(?is)<img\s[^>]*>') as imgs, regexp_extract_all(seen, '(?is)<a\s[^>]*href=[^>]*>.*?</a>') as anchors, regexp_extract_all(seen, '(?is)<form\b.*?</form>') as forms,
          regexp_extract_all(seen, '(?is)<link\s[^>]*rel=.?canonical[^>]*>') as canonicals, regexp_extract_all(html, '(?is)<script[^>]*ld.json[^>]*>(.*?)</script>', 1) as jsonld,
@@ -54,7 +59,7 @@ inward as (
 grams as (
   select distinct site, url, array_to_string(w[i : i + 4], ' ') as g from (
     select site, url, w, unnest(range(1, len(w) - 3)) as i from (
-      select site, url, list_filter(regexp_split_to_array(lower(trim(left(text, 1500)) || ' ' || text), '[^\p{{{{L}}}}0-9]+'), lambda x: x <> '') as w from p1 where words >= 120) where len(w) >= 5)),
+      select site, url, list_filter(regexp_split_to_array(lower(top_text || ' ' || text), '[^\p{{{{L}}}}0-9]+'), lambda x: x <> '') as w from p1 where words >= 120) where len(w) >= 5)),
 gram_counts as (select site, url, count(*) as n from grams group by site, url),
 alike as (
   select distinct c.site, a as url from (select x.site, x.url as a, y.url as b, count(*) as k from grams x join grams y on x.site = y.site and x.g = y.g and x.url <> y.url group by all) c
@@ -73,7 +78,7 @@ def _plain(c: str) -> str:
     return c
 
 
-PAGES = PAGES.replace("{t0}", _plain("t0")).replace("{h}", _plain("h")).replace("{b0}", _plain("b0")).replace("{{", "{").replace("}}", "}")
+PAGES = PAGES.replace("{t0}", _plain("t0")).replace("{h}", _plain("h")).replace("{b0}", _plain("b0")).replace("{b1}", _plain("b1")).replace("{{", "{").replace("}}", "}")
 
 _HAS = "regexp_matches(seen, '(?i){}')"
 _LEAD = r"list_filter(forms, lambda f: not regexp_matches(f, '(?i)role=.?search|action=[^>]*(search|поиск)') and regexp_matches(f, '(?i)<(input|textarea|select)\b[^>]*(type=.?(tel|email)|(name|placeholder|id)=.?[^\">]*(name|имя|фио|phone|tel|телефон|mail|почт|contact|fio))'))"
@@ -116,7 +121,7 @@ _SQL: dict[str, tuple[str, str]] = {
     "ai-content-without-js": ("true", r"words < 60 and (regexp_matches(html, '(?i)<div[^>]+id=[\"''](root|app|__next|__nuxt)[\"''][^>]*>\s*</div>') or len(regexp_extract_all(html, '(?i)<script\s[^>]*src=')) >= 3 or list_sum(list_transform(regexp_extract_all(html, '(?is)<script>(.*?)</script>', 1), lambda x: length(x))) > 20000)"),
     "ai-jsonld-content-types": ("true", _TYPE.format("FAQPage|Product|Service|Offer|AggregateOffer|HowTo|Course|Event|Menu")),
     "ai-machine-structure": ("true", r"regexp_matches(seen, '(?i)<(table|dl)\b') or regexp_matches(regexp_replace(seen, '(?is)<(nav|header|footer)\b.*?</(nav|header|footer)>', '', 'g'), '(?is)<[uo]l\b[^>]*>\s*(<li\b[^<]*(<[^lu/][^<]*|</[^ulo][^<]*|</li>\s*)*){3}')"),
-    "ai-answer-on-top": ("true", f"not (regexp_matches(left(text, 1500), {_PRICE}) or len(regexp_extract_all(left(text, 1500), '[0-9]+')) >= 3)"),
+    "ai-answer-on-top": ("true", f"not (regexp_matches(top_text, {_PRICE}) or len(regexp_extract_all(top_text, '[0-9]+')) >= 3)"),
     "ai-prices-in-text": ("true", f"regexp_matches(text, {_PRICE})"),
     "ai-faq-block": ("true", _TYPE.format("FAQPage") + r" or len(regexp_extract_all(seen, '(?i)<summary')) >= 2 or len(list_filter(headings, lambda h: regexp_matches(h, '\?\s*$'))) >= 3 or regexp_matches(array_to_string(headings, ' '), '(?i)(faq|вопрос\S* и ответ|частые вопросы)')"),
     "no-placeholder-text": ("true", "regexp_matches(text, '(?i)(lorem ipsum|dolor sit amet|здесь будет текст|текст-заглушка|рыба текст|тут будет описание|sample text)')"),
@@ -229,6 +234,14 @@ WEAKEST = RESULTS + """select site, cast(rank as integer) as rank, category, sco
   select g.*, row_number() over (partition by site order by score, place) as rank from g join (select category, min(check_no) as place from dim group by category) using (category)) where rank <= 3"""
 LINK_EDGES = PAGES + "select site, source, target from e"
 NEAR_DUPLICATES = PAGES + "select site, url from alike"
+_EDITION = "select page_id * 4 + {0} as page_id, regexp_replace(url, '#.*$', '') || case when contains(regexp_replace(url, '#.*$', ''), '?') then '&' else '?' end || 'edition={0}' as url, {1} as html from pages"
+_EDITIONS = f"""with recursive editions as (
+  select page_id * 4 as page_id, url, html from pages
+  union all {_EDITION.format(1, "replace(html, '</article>', '<p>This is an edition for printing</p></article>')")}
+  union all {_EDITION.format(2, "regexp_replace(html, ' (of|the|de|und|la) ', ' by ', 'g')")} where page_id % 2 = 0
+  union all {_EDITION.format(3, "html")} where page_id % 5 = 0),
+"""
+NEAR_DUPLICATE_EDITIONS = NEAR_DUPLICATES.replace("with recursive ", _EDITIONS, 1).replace("coalesce(html, '') as html from pages)", "coalesce(html, '') as html from editions)", 1)
 
 
 def _bad(c) -> str:
