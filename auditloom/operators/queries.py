@@ -69,7 +69,7 @@ def near_duplicate_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_replace("html", " (of|the|de|und|la) ", " by ")
     own = pages.select((F.col("page_id") * 4).alias("page_id"), "url", "html")
     editions = own.unionByName(edition(1, line, "true")).unionByName(edition(2, words, "page_id % 2 = 0")).unionByName(edition(3, F.col("html"), "page_id % 5 = 0"))
-    return crawl.near_duplicates(written(parse_pages(editions)))
+    return crawl.near_duplicates(written(parse_pages(editions).select("site", "url", "text", "top_text", "words")))
 
 
 def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,37 +76,38 @@ def near_duplicates(silver: DataFrame, body_chars: int | None = None) -> DataFra
     text = F.concat_ws(" ", "top_text", "text" if body_chars is None else F.left("text", F.lit(body_chars)))
     words = F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda w: w != "")
     rows = silver.where(f"words >= {MIN_WORDS} and coalesce(status, 200) = 200" if "status" in silver.columns else f"words >= {MIN_WORDS}").select("site", "url", F.explode(F.array(words)).alias("w"))
-    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, SHINGLE), " ")))))
-    sets = written(rows.where(F.size("w") >= SHINGLE).select("site", "url", grams.alias("set")).withColumn("sig", F.xxhash64("set")))
-    classes = sets.groupBy("site", "sig", "set").agg(F.min("url").alias("url"), F.countDistinct("url").alias("pages"))
-    classes = written(classes.withColumn("n", F.size("set")))
-    tokens = classes.select("site", "url", "n", F.explode("set").alias("token"))
-    shared = tokens.groupBy("site", "token").agg(F.count("*").alias("df")).where("df > 1")
-    found = tokens.join(shared, ["site", "token"]).groupBy("site", "url", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
+    shingle = lambda i: F.xxhash64("site", F.array_join(F.slice("w", i, SHINGLE), " "))  # noqa: E731  # shingles of two sites never meet
+    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), shingle)))
+    sets = rows.where(F.size("w") >= SHINGLE).select("site", "url", grams.alias("set")).withColumn("sig", F.unhex(F.sha2(F.array_join("set", ","), 256)))
+    classes = sets.groupBy("site", "sig").agg(F.any_value("set").alias("set"), F.min("url").alias("url"), F.max("url").alias("last_url"))
+    classes = written(classes.withColumns({"id": F.monotonically_increasing_id(), "n": F.size("set")}))
+    tokens = classes.select("id", F.explode("set").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    found = tokens.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found")).join(classes.select("id", "n"), "id")
     least = F.floor(F.col("n") * LIKENESS / 100) + 1  # shingles in common, at least
     prefix = F.posexplode(F.slice("found", F.lit(1), (F.size("found") - least + 1).cast("int"))).alias("pos", "f")
-    reached = found.where(F.size("found") >= least).select("site", "url", "n", F.size("found").alias("k"), prefix)
+    reached = found.where(F.size("found") >= least).select("id", "n", F.size("found").alias("k"), prefix)
     band = F.floor(F.log("n") / F.log(F.lit(100 / LIKENESS))).alias("band")  # sizes of sets that are alike differ by less than a band
-    members = written(reached.select("site", "url", "n", "f.token", (F.col("k") - F.col("pos")).alias("left"), band))
-    heads = members.groupBy("site", "token", "band").agg(F.array_distinct(F.array(F.min("url"), F.max("url"))).alias("heads"))
-    heads = heads.select("site", "token", "band", F.explode("heads").alias("other"))
-    own = classes.select("site", "url", "set")
+    members = written(reached.select("id", "n", "f.token", (F.col("k") - F.col("pos")).alias("left"), band))
+    heads = members.groupBy("token", "band").agg(F.array_distinct(F.array(F.min("id"), F.max("id"))).alias("heads"))
+    heads = heads.select("token", "band", F.explode("heads").alias("other"))
+    own = classes.select("id", "url", "set")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select("site", F.least("url", "other").alias("url"), F.greatest("url", "other").alias("other"))
-        met = ordered.distinct().join(own, ["site", "url"]).join(own.select("site", F.col("url").alias("other"), F.col("set").alias("others")), ["site", "other"])
+        ordered = pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
+        met = ordered.distinct().join(own, "id").join(own.select(F.col("id").alias("other"), F.col("url").alias("other_url"), F.col("set").alias("others")), "other").where("url != other_url")
         both = F.size(F.array_intersect("set", "others"))
-        return met.where(100 * both > LIKENESS * (F.size("set") + F.size("others") - both)).select("site", F.explode(F.array("url", "other")).alias("url")).distinct()
+        return met.where(100 * both > LIKENESS * (F.size("set") + F.size("others") - both)).select(F.explode(F.array("id", "other")).alias("id")).distinct()
 
     near_bands = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")
-    asking = members.select("site", "url", "token", "n", "left", near_bands)
-    first = written(alike(asking.join(heads, ["site", "token", "band"]).where("url != other").select("site", "url", "other")))
-    rest = asking.join(first, ["site", "url"], "left_anti")
-    others = members.select("site", "token", "band", F.col("url").alias("other"), F.col("n").alias("m"), F.col("left").alias("others_left"))
-    fits = f"url != other and 100 * least(n, m) > {LIKENESS} * greatest(n, m) and {100 + LIKENESS} * least(left, others_left) > {LIKENESS} * (n + m)"
-    second = alike(rest.join(others, ["site", "token", "band"]).where(fits).select("site", "url", "other"))
-    classes_hit = first.unionByName(second).unionByName(classes.where("pages > 1").select("site", "url")).distinct()
-    return sets.join(classes.join(classes_hit, ["site", "url"]).select("site", "sig", "set"), ["site", "sig", "set"]).select("site", "url").distinct()
+    asking = members.select("id", "token", "n", "left", near_bands)
+    first = written(alike(asking.join(heads, ["token", "band"]).where("id != other").select("id", "other")))
+    rest = asking.join(first, "id", "left_anti")
+    others = members.select("token", "band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("left").alias("others_left"))
+    fits = f"id != other and 100 * least(n, m) > {LIKENESS} * greatest(n, m) and {100 + LIKENESS} * least(left, others_left) > {LIKENESS} * (n + m)"
+    second = alike(rest.join(others, ["token", "band"]).where(fits).select("id", "other"))
+    classes_hit = first.unionByName(second).unionByName(classes.where("url != last_url").select("id")).distinct()
+    return sets.select("site", "url", "sig").join(classes.join(classes_hit, "id").select("site", "sig"), ["site", "sig"]).select("site", "url").distinct()
 
 
 def css_of_homes(assets: DataFrame) -> DataFrame:
