@@ -333,8 +333,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, html and more) to page_id, site, url, html, path, depth, is_home, the silver columns, and what else pages have
     (status, headers, bytes, ttfb_ms, say). The home page is the one of the least (depth, page_id) of its site, told from the urls alone."""
     kind = to_arrow_schema(SILVER)
-    base = located(pages)
-    base = base.select("url", "html", *[c for c in base.columns if c not in ("url", "html", "is_home", *SILVER.names)])
+    places = located(pages)
+    base = places.select("url", "html", *[c for c in places.columns if c not in ("url", "html", "is_home", *SILVER.names)])
     cores = pages.sparkSession.sparkContext.defaultParallelism
     if base.rdd.getNumPartitions() < cores:  # a small table in one file; parsing takes longer than dealing it out
         base = base.repartition(cores)
@@ -345,7 +345,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             fields = pa.RecordBatch.from_pylist(found, kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, *fields.columns], [*batch.schema.names, *kind.names])
 
-    return with_home(base.mapInArrow(rows, T.StructType([*base.schema.fields, *SILVER.fields])))
+    return with_home(base.mapInArrow(rows, T.StructType([*base.schema.fields, *SILVER.fields])), places)
 
 
 def located(pages: DataFrame) -> DataFrame:
@@ -356,7 +356,9 @@ def located(pages: DataFrame) -> DataFrame:
     return pages.withColumn("url", url).withColumns({"site": F.coalesce(site, F.lit("")), "path": path, "depth": F.size(F.filter(F.split(path, "/"), lambda s: s != ""))})
 
 
-def with_home(pages: DataFrame) -> DataFrame:
-    """Adds is_home: a grouped minimum and a join on the site, whose hot sites Spark splits."""
-    homes = pages.groupBy("site").agg(F.min(F.struct("depth", "page_id")).alias("home")).select(F.col("site").alias("__site"), F.col("home.page_id").alias("__home"))
-    return pages.join(homes, pages["site"] == F.col("__site")).withColumn("is_home", F.col("page_id").eqNullSafe(F.col("__home"))).drop("__site", "__home")
+def with_home(pages: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Adds is_home: a grouped minimum and a join on the site, whose hot sites Spark splits.
+
+    places: the same pages where site, depth and page_id cost less to come by; else pages are worked out twice."""
+    homes = (pages if places is None else places).groupBy("site").agg(F.min(F.struct("depth", "page_id")).alias("home")).select(F.col("site").alias("__site"), F.col("home.page_id").alias("__home"))
+    return pages.join(homes, F.col("site") == F.col("__site")).withColumn("is_home", F.col("page_id").eqNullSafe(F.col("__home"))).drop("__site", "__home")
