@@ -54,3 +54,13 @@ def test_pages_of_one_template_match_brute_force(spark):
 def test_no_pages(spark):
     silver = spark.createDataFrame([], "site string, url string, text string, top_text string, words int")
     assert crawl.near_duplicates(silver).count() == 0
+
+
+def test_pages_of_one_address_count_together(spark):
+    """As in SQL: an address has the shingles of all its pages, so that one of them alone makes it like no other."""
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [("s", "u1", text("a", 200)), ("s", "u1", text("b", 200)), ("s", "u2", text("a", 200)), ("s", "u3", text("a", 199)), ("s", "u4", text("b", 199)), ("s", "u4", text("a", 200)), ("s", None, text("a", 200))]
+    silver = spark.createDataFrame([(*r, "", len(r[2].split())) for r in rows], "site string, url string, text string, top_text string, words int")
+    assert sorted(r.url for r in crawl.near_duplicates(silver).collect()) == ["u1", "u2", "u3", "u4"]
+    apart = silver.where("url in ('u1', 'u2')")
+    assert crawl.near_duplicates(apart).count() == 0
