@@ -123,7 +123,7 @@ class SiteResults:
             changes, touched = changes.unionByName(self._counts(old, -1)), touched.unionByName(old.select("site"))
         self._summed(changes).write.mode("overwrite").parquet(f"{folder}/counts")
         touched = written(touched.distinct())
-        others = checks.run_checks(self.of_sites(touched, name), self.others)
+        others = checks.run_checks(written(self.of_sites(touched, name)), self.others)
         touched.withColumn("batch", F.lit(batch).cast("long")).join(others, "site", "left").write.mode("overwrite").parquet(f"{folder}/others")
         self._mark(folder)
 
