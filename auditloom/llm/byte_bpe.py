@@ -12,8 +12,8 @@ import base64
 import functools
 import re
 from array import array
-from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import small_batches, table
 
-#: Misses whose merges a worker keeps; at this many it starts anew.
-KEPT_MISSES = 100_000
+#: Bytes of misses of a generation whose merges a worker keeps; it keeps two generations. An entry counts with so many bytes besides its piece and ids.
+KEPT_BYTES, ENTRY_BYTES = 48 << 20, 180
 #: Texts are solved in groups of so many characters, which bounds a worker's memory.
 GROUP_CHARS = 1_500_000
 
@@ -94,58 +94,82 @@ class ByteBpe:
         self.packed: list[bytes] = [b""] * len(keys)
         for key, slot in zip(keys, self.hash.slots(keys).tolist(), strict=True):
             self.keys[slot], self.packed[slot] = key, ranks[key].to_bytes(4, "little")
-        #: The id that a pair of ids joins to.
-        self.joined = {ranks[k[:i]] << 32 | ranks[k[i:]]: r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        n = max(ranks.values()) + 1
+        pairs = [(ranks[k[:i]], ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
+        #: For an id what tells the id that it joins to with one on its right, or on its left.
+        self.to_right = self._joining(n, ((a, b, r) for a, b, r in pairs))
+        self.to_left = self._joining(n, ((b, a, r) for a, b, r in pairs))
+        #: The same for two bytes.
+        self.byte_rows = [[self.to_right[a](b) for b in self.byte_ids] for a in self.byte_ids]
         self.bytes_of = {i: k for k, i in ranks.items()}
+        #: Merged misses of late, and those of the generation before.
         self.misses: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kept = 0
+
+    @staticmethod
+    def _joining(n: int, pairs: Iterable[tuple[int, int, int]]) -> list[Callable[[int], int | None]]:
+        found: dict[int, dict[int, int]] = {}
+        for a, b, rank in pairs:
+            found.setdefault(a, {})[b] = rank
+        nothing: dict[int, int] = {}
+        return [found.get(i, nothing).get for i in range(n)]
 
     def merge(self, piece: bytes) -> bytes:
         """The packed ids of a piece that isn't in the vocabulary as a whole."""
-        joined, n = self.joined.get, len(piece)
-        ids = list(map(self.byte_ids.__getitem__, piece))
-        waits = [joined(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]  # rank of the pair that starts here
-        waits.append(-1)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r * n + i for i, r in enumerate(waits) if r >= 0]
+        to_right, to_left, rows, n, bits = self.to_right, self.to_left, self.byte_rows, len(piece), len(piece).bit_length()
+        low = (1 << bits) - 1
+        # the last position, also met as -1, stands before the first id and after the last: no pair joins with it
+        ids = [*map(self.byte_ids.__getitem__, piece), -1]
+        waits = [rows[a][b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of the pair that starts here
+        heap = [r << bits | i for i, r in enumerate(waits) if r is not None]
+        waits += (None, None)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         heapify(heap)
         while heap:
-            rank, i = divmod(heappop(heap), n)
+            i, rank = heap[0] & low, heap[0] >> bits
             if waits[i] != rank:
-                continue  # one of the two has been merged meanwhile
+                heappop(heap)  # one of the two has been merged meanwhile
+                continue
             j = after[i]
-            k = after[i] = after[j]
-            ids[i], ids[j], waits[j] = rank, -1, -1
-            if k < n:
-                before[k] = i
-                waits[i] = r = joined(rank << 32 | ids[k], -1)
-                if r >= 0:
-                    heappush(heap, r * n + i)
-            else:
-                waits[i] = -1
+            after[i] = k = after[j]
+            before[k] = i
+            ids[i], ids[j], waits[j] = rank, -1, None
+            waits[i] = right = to_right[rank](ids[k])
             h = before[i]
-            if h >= 0:
-                waits[h] = r = joined(ids[h] << 32 | rank, -1)
-                if r >= 0:
-                    heappush(heap, r * n + h)
+            waits[h] = left = to_left[rank](ids[h])
+            if right is not None:
+                heapreplace(heap, right << bits | i)
+                if left is not None:
+                    heappush(heap, left << bits | h)
+            elif left is not None:
+                heapreplace(heap, left << bits | h)
+            else:
+                heappop(heap)
         return array("I", [i for i in ids if i >= 0]).tobytes()
 
+    def merged(self, piece: str, raw: bytes) -> bytes:
+        """As merge, of a piece that may have come before. Misses that aren't asked for again while KEPT_BYTES of others are go."""
+        ids = self.misses.get(piece)
+        if ids is None:
+            ids = self.older.pop(piece, None)
+            if ids is None:
+                ids = self.merge(raw)
+            self.kept += ENTRY_BYTES + len(raw) + len(ids)
+            if self.kept > KEPT_BYTES:
+                self.older, self.misses, self.kept = self.misses, {}, 0
+            self.misses[piece] = ids
+        return ids
+
     def packed_ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self.split_ascii(t) if t.isascii() else self.split(t) for t in texts]
         found: dict[str, bytes] = {}
         pieces = list(set().union(*cut))
         as_bytes = [p.encode() for p in pieces]
-        if len(self.misses) > KEPT_MISSES:
-            self.misses.clear()
         for piece, raw, slot in zip(pieces, as_bytes, self.hash.slots(as_bytes).tolist(), strict=True):
-            if slot >= 0 and self.keys[slot] == raw:
-                found[piece] = self.packed[slot]
-            else:
-                ids = self.misses.get(piece)
-                if ids is None:
-                    ids = self.misses[piece] = self.merge(raw)
-                found[piece] = ids
+            found[piece] = self.packed[slot] if slot >= 0 and self.keys[slot] == raw else self.merged(piece, raw)
         return [b"".join(map(found.__getitem__, c)) for c in cut]
 
     def decoded(self, packed: bytes) -> bytes:
