@@ -6,7 +6,8 @@ rounded at random to BITS-bit integers, bit operations give the inner product wi
 it is an unbiased estimate of the inner product of the directions. Its error exceeds SPREAD standard errors with a
 probability that falls exponentially in SPREAD; the rounding of the query adds its own term. Every candidate whose upper
 bound reaches the k-th best lower bound is reranked by its exact inner product, in double precision, so the codes decide
-only what needn't be computed.
+only what needn't be computed. Of these, a product of matrices tells which can't be among the best whatever rounding adds;
+the others' products are summed in order.
 
 Queries and candidates meet in cells of a block of queries and a block of candidates, both of bounded size, so a task
 holds two blocks however large the table is; each cell passes on its k best of a query. All candidates are indexed.
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 SEED = 20_077
 BITS = 6
 SPREAD = 3.0
 #: Sizes of the blocks of a cell.
 QUERIES, CANDIDATES = 1024, 4096
+#: Pairs whose products are summed in order at once, which bounds memory where many vectors are equal.
+SUMMED = 1 << 14
 #: Tables are cut into so many blocks at least, which keeps all cores busy.
 LEAST_BLOCKS = 6
 
@@ -65,12 +68,12 @@ def estimates(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, agree:
     low = turned.min(1, keepdims=True)
     step = np.maximum(turned.max(1, keepdims=True) - low, 1e-12) / (2**BITS - 1)
     levels = np.minimum(np.floor((turned - low) / step + np.random.default_rng(SEED).random(turned.shape)), 2**BITS - 1).astype(np.uint8)
-    met = np.zeros((len(queries), len(codes)))
+    met = np.zeros((len(queries), len(codes)), np.int32)
     for bit in range(BITS):
         plane = np.packbits(levels >> bit & 1, axis=1)
         plane = np.ascontiguousarray(np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8)))).view(np.uint64)
         for word in range(codes.shape[1]):
-            met += np.bitwise_count(plane[:, word, None] & codes[None, :, word]).astype(np.float64) * 2**bit
+            met += np.left_shift(np.bitwise_count(plane[:, word, None] & codes[None, :, word]), bit, dtype=np.int32)
     ones = np.bitwise_count(codes).sum(1)
     # <code, query> with code components +-1/sqrt(dim) and query components low + step * level
     with_code = (2 * (low * ones + step * met) - (low * dim + step * levels.sum(1, keepdims=True))) / np.sqrt(dim)
@@ -79,6 +82,20 @@ def estimates(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, agree:
     return with_code / agree * scale, off * scale
 
 
+def _within(queries: np.ndarray, vectors: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Those of the near pairs that may be among the k best of a query, by products in any order of summation and what rounding may add to them.
+
+    Sums of n products in two orders differ by 2 n u |q| |v| at most, u being 2**-53, and a few terms of second order."""
+    dim = queries.shape[1]
+    with np.errstate(all="ignore"):
+        got = queries @ vectors.T
+        slack = (4 * (dim + 4) * np.finfo(np.float64).eps) * np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1) + 4 * dim * np.finfo(np.float64).tiny
+        sure = np.where(near, got - slack, -np.inf)
+        sure[np.isnan(sure)] = -np.inf
+        least = np.partition(sure, -k, axis=1)[:, -k] if len(vectors) > k else np.full(len(queries), -np.inf)
+        return near & ~(got + slack < least[:, None])  # what overflows stays
+
+
 def _cell(k: int):
     def search(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -98,13 +115,16 @@ def _cell(k: int):
                     sure = np.where(own, -np.inf, guess - off)
                     least = np.partition(sure, -k, axis=1)[:, -k] if len(vectors) > k else np.full(len(part), -np.inf)
                     near = (guess + off >= least[:, None]) & ~own
-                    for q, picks in zip(range(len(part)), near, strict=True):
-                        found = np.flatnonzero(picks)
-                        scores = (vectors[found] * part[q]).cumsum(1)[:, -1]  # summed in order
-                        best = np.lexsort((vector_ids[found], -scores))[:k]
-                        out["query_id"].append(np.full(len(best), part_ids[q]))
-                        out["vec_id"].append(vector_ids[found][best])
-                        out["score"].append(scores[best])
+                    rows_, found = np.nonzero(_within(part, vectors, near, k))
+                    scores = np.empty(len(found))
+                    for s in slices(len(found), SUMMED):  # summed in order
+                        scores[s] = (vectors[found[s]] * part[rows_[s]]).cumsum(1)[:, -1]
+                    order = np.lexsort((vector_ids[found], -scores, rows_))
+                    rows_, found, scores = rows_[order], found[order], scores[order]
+                    best = np.arange(len(rows_)) - np.searchsorted(rows_, rows_) < k
+                    out["query_id"].append(part_ids[rows_[best]])
+                    out["vec_id"].append(vector_ids[found[best]])
+                    out["score"].append(scores[best])
         kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
         return pa.table({n: np.concatenate(x) if x else np.empty(0, kinds[n]) for n, x in out.items()})
 
