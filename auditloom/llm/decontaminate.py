@@ -246,7 +246,8 @@ def find_benchmark_passages(df: DataFrame, benchmark: DataFrame, text: str = "te
         one = SuffixAutomaton([], window) if shard is None else pickle.loads(built.where(F.col("shard") == shard).first()["automaton"])
         last = shard == shards[-1]
         passages = _passages(spark.sparkContext.broadcast(one), last, F.col(text), F.col(spans))
-        met = rows.withColumn(found, passages).withColumns({spans: F.col(found)["spans"], items: F.array_sort(F.array_union(items, F.col(found)["items"]))})
+        # a generator, through which no filter moves: moved, it would have each text scanned again, by a Python worker more
+        met = rows.withColumn(found, F.explode_outer(F.array(passages))).withColumns({spans: F.col(found)["spans"], items: F.array_sort(F.array_union(items, F.col(found)["items"]))})
         if last:
             scratch.keep(rows)
             return met.withColumns({"items": F.col(items)} | {x: F.col(found)[x] for x in ("n_words", "n_hit", "clean_text")}).drop(found, spans, items)
