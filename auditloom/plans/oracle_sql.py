@@ -238,8 +238,8 @@ _EDITION = "select page_id * 4 + {0} as page_id, regexp_replace(url, '#.*$', '')
 _EDITIONS = f"""with recursive editions as (
   select page_id * 4 as page_id, url, html from pages
   union all {_EDITION.format(1, "replace(html, '</article>', '<p>This is an edition for printing</p></article>')")}
-  union all {_EDITION.format(2, "regexp_replace(html, ' (of|the|de|und|la) ', ' by ', 'g')")} where page_id % 2 = 0
-  union all {_EDITION.format(3, "html")} where page_id % 5 = 0),
+  union all {_EDITION.format(2, "regexp_replace(html, ' (of|the|de|und|la) ', ' by ', 'g')")}
+  union all {_EDITION.format(3, "html")}),
 """
 NEAR_DUPLICATE_EDITIONS = NEAR_DUPLICATES.replace("with recursive ", _EDITIONS, 1).replace("coalesce(html, '') as html from pages)", "coalesce(html, '') as html from editions)", 1)
 

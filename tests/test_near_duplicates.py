@@ -20,6 +20,16 @@ def test_editions_match_sql(spark):
     assert len(got) < spark.read.parquet(f"{SF}/pages.parquet").count() * 3
 
 
+def test_every_page_gets_every_edition(spark):
+    """Whatever its page_id: a long page and its exact copy are found, and editions with other words are of all pages."""
+    got = {r.url for r in queries.near_duplicate_editions(spark, SF).collect()}
+    ids = {r.page_id: r.url.split("#")[0] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    has = lambda url, k: f"{url}{'&' if '?' in url else '?'}edition={k}" in got
+    found = {i for i, url in ids.items() if url in got}
+    assert len(found) > len(ids) / 2 and found == {i for i, url in ids.items() if has(url, 3)}
+    assert {i % 5 for i in found} == {0, 1, 2, 3, 4} and {i % 2 for i, url in ids.items() if has(url, 2)} == {0, 1}
+
+
 def _pages(seed):
     """Pages of a few paragraphs that many share: most share over half of their shingles with many others, few over nine tenths."""
     rng = random.Random(seed)
