@@ -2,6 +2,7 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 
@@ -61,6 +62,30 @@ def test_pages_of_one_template_match_brute_force(spark):
         assert {tuple(r) for r in crawl.near_duplicates(silver).collect()} == want and 10 < len(want) < len(sets)
 
 
+def test_it_does_not_matter_where_pages_stand(spark):
+    """Pages beside their like, which are compared where they stand, and pages dealt out at random: both as brute force has it."""
+    rows = _pages(3)
+    silver = spark.createDataFrame([(*r, "", len((r[2] or "").split())) for r in rows], "site string, url string, text string, top_text string, words int")
+    sets = {(site, url): _shingles(text) for site, url, text in rows}
+    want = {p for x, y in combinations(sets, 2) if x[0] == y[0] and sets[x] and sets[y] and 10 * len(sets[x] & sets[y]) > 9 * len(sets[x] | sets[y]) for p in (x, y)}
+    for placed in (silver.coalesce(1).sortWithinPartitions("site", "text"), silver.repartition(7)):
+        assert {tuple(r) for r in crawl.near_duplicates(placed).collect()} == want and len(want) > 10
+
+
+def test_shuffles_stay_near_the_input(spark):
+    """Pages with their editions: not every shingle travels, and sets only where pages may be alike."""
+    context, sf = spark.sparkContext, SF.replace("0.001", "0.01")
+
+    def shuffled():
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    assert queries.near_duplicate_editions(spark, sf).count() == 590
+    size = sum(b for i, b in shuffled().items() if i not in before)
+    assert 0 < size < 9 * Path(f"{sf}/pages.parquet").stat().st_size, size
+
+
 def test_no_pages(spark):
     silver = spark.createDataFrame([], "site string, url string, text string, top_text string, words int")
     assert crawl.near_duplicates(silver).count() == 0
